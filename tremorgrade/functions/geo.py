@@ -1,20 +1,17 @@
-"""Great-circle distance."""
+"""Great-circle distance as SQL expression text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 EARTH_RADIUS_KM = 6371
 
 
-def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+def haversine_km(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     """Great-circle distance in kilometres between two points in degrees.
 
     The argument of the arc sine is held at 1, which rounding noise may pass
     for two opposite points.
     """
-    lat_term = F.pow(F.sin(F.radians((lat1 - lat2) / 2)), F.lit(2.0))
-    lon_term = F.pow(F.sin(F.radians((lon1 - lon2) / 2)), F.lit(2.0))
-    chord = lat_term + F.cos(F.radians(lat2)) * F.cos(F.radians(lat1)) * lon_term
-    return F.lit(2.0 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), chord)))
+    lat_term = f"power(sin(radians(({lat1} - {lat2}) / 2)), 2)"
+    lon_term = f"power(sin(radians(({lon1} - {lon2}) / 2)), 2)"
+    chord = f"{lat_term} + cos(radians({lat2})) * cos(radians({lat1})) * {lon_term}"
+    return f"2 * {EARTH_RADIUS_KM} * asin(sqrt(least(1.0D, {chord})))"

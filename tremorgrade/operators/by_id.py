@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tremorgrade.functions import seconds_between
@@ -18,8 +18,8 @@ def p_by_id(p_alarms: DataFrame) -> DataFrame:
     A minimum is merged before the shuffle, so an event with a third of all
     alarms costs the reducers one row per map task.
     """
-    first = F.min(_nulls_last(P_ALARM_ID)).alias("_first")
-    return p_alarms.groupBy("earth_id").agg(first).select("earth_id", *_times("_first", ""))
+    first = F.expr(f"min({_nulls_last(P_ALARM_ID)}) AS _first")
+    return p_alarms.groupBy("earth_id").agg(first).selectExpr("earth_id", *_times("_first", ""))
 
 
 def s_by_id(s_alarms: DataFrame) -> DataFrame:
@@ -28,20 +28,17 @@ def s_by_id(s_alarms: DataFrame) -> DataFrame:
     Alarms without an event id belong together but describe no event: their one
     row is all null.
     """
-    alarm = F.when(F.col("earth_id").isNotNull(), _nulls_last(S_ALARM_ID))
+    first = f"min({_nulls_last(S_ALARM_ID)}) FILTER (WHERE earth_id IS NOT NULL"
     return (
         s_alarms.groupBy("earth_id")
         .agg(
-            F.min(alarm).alias("_first"),
-            *[
-                F.min(F.when(F.col("x_acc_value") >= level, alarm)).alias(f"_{name}")
-                for name, level in S_LEVELS.items()
-            ],
+            F.expr(f"{first}) AS _first"),
+            *[F.expr(f"{first} AND x_acc_value >= {S_LEVELS[n]}) AS _{n}") for n in S_LEVELS],
         )
-        .select(
+        .selectExpr(
             "earth_id",
             *_times("_first", ""),
-            *[c for name in S_LEVELS for c in _times(f"_{name}", f"{name}_")],
+            *[column for n in S_LEVELS for column in _times(f"_{n}", f"{n}_")],
         )
     )
 
@@ -52,7 +49,7 @@ def p_by_id_in_range(p_alarms: DataFrame, start, end) -> DataFrame:
     Alarms after the range cannot change that: an event whose first alarm they
     would be is out anyway. So that bound is applied to the scan as well.
     """
-    return in_range(p_by_id(p_alarms.where(F.col("jk_time") <= _bound(end))), start, end)
+    return in_range(p_by_id(p_alarms.where(f"jk_time <= {_bound(end)}")), start, end)
 
 
 def s_by_id_in_range(s_alarms: DataFrame, start, end) -> DataFrame:
@@ -61,24 +58,25 @@ def s_by_id_in_range(s_alarms: DataFrame, start, end) -> DataFrame:
 
 
 def in_range(reports: DataFrame, start, end) -> DataFrame:
-    return reports.where(F.col("jk_time").between(_bound(start), _bound(end)))
+    return reports.where(f"jk_time BETWEEN {_bound(start)} AND {_bound(end)}")
 
 
-def _nulls_last(alarm_id: str) -> Column:
+def _nulls_last(alarm_id: str) -> str:
     """Orders alarms by time, unknown times last, then by id."""
-    return F.struct(F.col("jk_time").isNull().alias("_unknown"), "jk_time", alarm_id, "rcv_jktime")
+    return f"struct(jk_time IS NULL AS _unknown, jk_time, {alarm_id}, rcv_jktime)"
 
 
-def _times(first: str, prefix: str) -> list[Column]:
-    sent, received = F.col(f"{first}.jk_time"), F.col(f"{first}.rcv_jktime")
+def _times(first: str, prefix: str) -> list[str]:
+    sent, received = f"{first}.jk_time", f"{first}.rcv_jktime"
     return [
-        sent.alias(f"{prefix}jk_time"),
-        received.alias(f"{prefix}rcv_jktime"),
-        seconds_between(received, sent).alias(f"{prefix}send_time"),
+        f"{sent} AS {prefix}jk_time",
+        f"{received} AS {prefix}rcv_jktime",
+        f"{seconds_between(received, sent)} AS {prefix}send_time",
     ]
 
 
-def _bound(at: str | datetime) -> Column:
+def _bound(at: str | datetime) -> str:
     """A range end, taken to the millisecond."""
-    text = at.isoformat(sep=" ", timespec="milliseconds") if isinstance(at, datetime) else at
-    return F.lit(text).cast("timestamp_ntz")
+    if isinstance(at, str):
+        at = datetime.fromisoformat(at)
+    return f"TIMESTAMP_NTZ '{at.isoformat(sep=' ', timespec='milliseconds')}'"

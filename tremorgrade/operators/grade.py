@@ -7,7 +7,7 @@ joined back to another.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tremorgrade.functions import haversine_km, rounded, seconds_between
@@ -20,6 +20,8 @@ from tremorgrade.schema import P_ALARM_ID, S_ALARM_ID
 S_PEAK_FLOOR = 40
 S_LEVELS = {"gal80": 80, "gal120": 120}
 
+_ELIGIBLE = f"actual_peak >= {S_PEAK_FLOOR}"
+
 _P_VALUES = ("source_longitude", "source_latitude", "epi_dist", "azi_angle", "earthquake_level")
 
 P_MATCHED = [
@@ -44,22 +46,22 @@ S_COMPARED = [
 
 def s_eligible(windows: DataFrame) -> DataFrame:
     """Waves strong enough to be graded for S alarms; unknown peaks are out."""
-    return windows.where(F.col("actual_peak") >= S_PEAK_FLOOR)
+    return windows.where(_ELIGIBLE)
 
 
 def grade_p(windows: DataFrame, p_alarms: DataFrame, profile: KeyProfile) -> DataFrame:
     """Add the first P alarm of each wave's window and the eight P measures."""
     firsts = [First("first", ("rcv_jktime", "sta_code", "device_code", *_P_VALUES))]
     matched = match_windows(windows, p_alarms, P_ALARM_ID, firsts, profile)
-    picked = matched.select(
+    picked = matched.selectExpr(
         *WINDOW,
-        F.col("first.jk_time").alias("p_first_jk_time"),
-        F.col("first.rcv_jktime").alias("p_first_rcv_jktime"),
-        F.col("first.sta_code").alias("p_sta_code"),
-        F.col("first.device_code").alias("p_device_code"),
-        *[rounded(F.col(f"first.{name}"), 3).alias(name) for name in _P_VALUES],
+        "first.jk_time AS p_first_jk_time",
+        "first.rcv_jktime AS p_first_rcv_jktime",
+        "first.sta_code AS p_sta_code",
+        "first.device_code AS p_device_code",
+        *_named({name: rounded(f"first.{name}", 3) for name in _P_VALUES}),
     )
-    return attach(windows, picked, WINDOW, F.col("id"), profile).select("*", *_p_measures())
+    return attach(windows, picked, WINDOW, "id", profile).selectExpr("*", *_p_measures())
 
 
 def grade_s(windows: DataFrame, s_alarms: DataFrame, profile: KeyProfile) -> DataFrame:
@@ -74,87 +76,79 @@ def grade_s(windows: DataFrame, s_alarms: DataFrame, profile: KeyProfile) -> Dat
     matched = match_windows(
         s_eligible(windows), s_alarms, S_ALARM_ID, firsts, profile, value="x_acc_value"
     )
-    picked = matched.select(
-        *WINDOW,
-        F.col("first.jk_time").alias("s_first_jk_time"),
-        F.col("first.rcv_jktime").alias("s_first_rcv_jktime"),
-        *[
-            F.col(f"{name}.{source}").alias(f"{name}_{source}")
-            for name in S_LEVELS
-            for source in ("jk_time", "rcv_jktime")
-        ],
-        F.col("first.sta_code").alias("s_sta_code"),
-        F.col("first.device_code").alias("s_device_code"),
-        rounded(F.col("peak"), 3).alias("wave_peak"),
-    )
+    alarm = {
+        "s_first_jk_time": "first.jk_time",
+        "s_first_rcv_jktime": "first.rcv_jktime",
+        "gal80_jk_time": "gal80.jk_time",
+        "gal80_rcv_jktime": "gal80.rcv_jktime",
+        "gal120_jk_time": "gal120.jk_time",
+        "gal120_rcv_jktime": "gal120.rcv_jktime",
+        "s_sta_code": "first.sta_code",
+        "s_device_code": "first.device_code",
+        "wave_peak": rounded("peak", 3),
+    }
+    picked = matched.selectExpr(*WINDOW, *_named(alarm))
     # A weak wave may share its window with a strong one: it still has no S alarm.
-    eligible = F.coalesce(F.col("actual_peak") >= S_PEAK_FLOOR, F.lit(False))
-    own = [c for c in picked.columns if c not in WINDOW]
+    own = {name: f"CASE WHEN s_eligible THEN {name} END" for name in alarm}
     return (
-        attach(windows, picked, WINDOW, F.col("id"), profile)
-        .select(
-            *windows.columns,
-            eligible.alias("s_eligible"),
-            *[F.when(eligible, F.col(c)).alias(c) for c in own],
-        )
-        .select("*", *_s_measures())
+        attach(windows, picked, WINDOW, "id", profile)
+        .withColumn("s_eligible", F.expr(f"coalesce({_ELIGIBLE}, false)"))
+        .selectExpr(*windows.columns, "s_eligible", *_named(own))
+        .selectExpr("*", *_s_measures())
     )
 
 
-def _p_measures() -> list[Column]:
-    c = F.col
-    return [
-        _miss_flag(c("p_first_jk_time")).alias("p_warning_miss"),
-        rounded(_distance(c("earthquake_level"), c("actual_magnitude")), 2).alias("magnitude_diff"),
-        rounded(
+def _p_measures() -> list[str]:
+    measures = {
+        "p_warning_miss": _miss_flag("p_first_jk_time"),
+        "magnitude_diff": rounded(_distance("earthquake_level", "actual_magnitude"), 2),
+        "epicenter_deviation_km": rounded(
             haversine_km(
-                c("source_latitude").cast("double"), c("source_longitude").cast("double"),
-                c("actual_latitude"), c("actual_longitude"),
+                "CAST(source_latitude AS DOUBLE)", "CAST(source_longitude AS DOUBLE)",
+                "actual_latitude", "actual_longitude",
             ),
             3,
-        ).alias("epicenter_deviation_km"),
-        seconds_between(c("p_first_rcv_jktime"), c("p_wave_time")).alias("p_wave_judge_time"),
-        seconds_between(c("p_first_jk_time"), c("p_wave_time")).alias("p_wave_judge_time_sta"),
-        rounded(_distance(c("epi_dist"), c("actual_distance")), 3).alias("epi_dist_diff"),
-        rounded(_distance(c("azi_angle"), c("azimuth")), 3).alias("azi_angle_diff"),
-        seconds_between(c("p_first_rcv_jktime"), c("p_first_jk_time")).alias("p_send_time"),
-    ]
-
-
-def _s_measures() -> list[Column]:
-    c = F.col
-    deviation = _distance(c("wave_peak"), c("actual_peak"))
-    share = (deviation / F.nullif(c("actual_peak"), F.lit(0.0))).try_cast("decimal(30,12)")
-    return [
-        F.when(c("s_eligible"), _miss_flag(c("s_first_jk_time"))).alias("s_warning_miss"),
-        *_judge_times("swave", "s_first", "s_wave_first_time"),
-        *_judge_times("gal80", "gal80", "s_wave_second_time"),
-        *_judge_times("gal120", "gal120", "s_wave_third_time"),
-        rounded(deviation, 3).alias("peak_deviation"),
-        F.round(share * 100, 2).alias("peak_deviation_percent"),
-        seconds_between(c("s_first_rcv_jktime"), c("s_first_jk_time")).alias("s_send_time"),
-        *[
-            seconds_between(c(f"{n}_rcv_jktime"), c(f"{n}_jk_time")).alias(f"{n}_send_time")
-            for n in S_LEVELS
-        ],
-    ]
-
-
-def _judge_times(name: str, alarm: str, truth: str) -> list[Column]:
-    """Time from the true onset to the alarm, at the centre and at the station."""
-    return [
-        seconds_between(F.col(f"{alarm}_rcv_jktime"), F.col(truth)).alias(f"{name}_judge_time"),
-        seconds_between(F.col(f"{alarm}_jk_time"), F.col(truth)).alias(f"{name}_judge_time_station"),
-    ]
-
-
-def _miss_flag(alarm_time: Column) -> Column:
-    return F.when(alarm_time.isNull(), F.lit("1"))
-
-
-def _distance(reported: Column, true: Column) -> Column:
+        ),
+        "p_wave_judge_time": seconds_between("p_first_rcv_jktime", "p_wave_time"),
+        "p_wave_judge_time_sta": seconds_between("p_first_jk_time", "p_wave_time"),
+        "epi_dist_diff": rounded(_distance("epi_dist", "actual_distance"), 3),
+        "azi_angle_diff": rounded(_distance("azi_angle", "azimuth"), 3),
+        "p_send_time": seconds_between("p_first_rcv_jktime", "p_first_jk_time"),
+    }
+    return _named(measures)
+
+
+def _s_measures() -> list[str]:
+    deviation = _distance("wave_peak", "actual_peak")
+    share = f"try_cast({deviation} / nullif(actual_peak, 0) AS DECIMAL(30,12))"
+    measures = {"s_warning_miss": f"CASE WHEN s_eligible THEN {_miss_flag('s_first_jk_time')} END"}
+    # Judge time: from the true onset to the alarm, at the centre and the station.
+    for name, alarm, truth in (
+        ("swave", "s_first", "s_wave_first_time"),
+        ("gal80", "gal80", "s_wave_second_time"),
+        ("gal120", "gal120", "s_wave_third_time"),
+    ):
+        measures[f"{name}_judge_time"] = seconds_between(f"{alarm}_rcv_jktime", truth)
+        measures[f"{name}_judge_time_station"] = seconds_between(f"{alarm}_jk_time", truth)
+    measures["peak_deviation"] = rounded(deviation, 3)
+    measures["peak_deviation_percent"] = f"round({share} * 100, 2)"
+    measures["s_send_time"] = seconds_between("s_first_rcv_jktime", "s_first_jk_time")
+    for name in S_LEVELS:
+        measures[f"{name}_send_time"] = seconds_between(f"{name}_rcv_jktime", f"{name}_jk_time")
+    return _named(measures)
+
+
+def _named(expressions: dict[str, str]) -> list[str]:
+    return [f"{expression} AS {name}" for name, expression in expressions.items()]
+
+
+def _miss_flag(alarm_time: str) -> str:
+    return f"CASE WHEN {alarm_time} IS NULL THEN '1' END"
+
+
+def _distance(reported: str, true: str) -> str:
     """Difference of a reported (already rounded) and a true value, as a double."""
-    return F.abs(reported.cast("double") - true)
+    return f"abs(CAST({reported} AS DOUBLE) - {true})"
 
 
 def p_matched(graded: DataFrame) -> DataFrame:

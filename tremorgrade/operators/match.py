@@ -21,10 +21,8 @@ instants only.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tremorgrade.functions import micros
@@ -43,7 +41,7 @@ class First:
 
     name: str
     columns: tuple[str, ...]
-    level: float | None = None
+    level: int | None = None
 
 
 def match_windows(
@@ -61,7 +59,7 @@ def match_windows(
     the level); and ``peak``, the largest ``value``, if ``value`` is given.
     """
     in_range = alarms.where(
-        F.col("jk_time").between(_instant(profile.first), _instant(profile.last))
+        f"jk_time BETWEEN {_instant(profile.first)} AND {_instant(profile.last)}"
     )
     earliest = _earliest(windows, in_range, alarm_id, firsts, profile, value)
     return _fetch(earliest, in_range, alarm_id, firsts, profile, value)
@@ -70,19 +68,16 @@ def match_windows(
 def _earliest(windows, alarms, alarm_id, firsts, profile, value) -> DataFrame:
     """First pass: per window the wanted instants and the peak."""
     cells, sizes = _window_cells(windows)
-    columns = ["jk_time", *([value] if value else [])]
+    kept = [alarm_id, "jk_time", *([value] if value else [])]
     probes = (
-        alarms.select(alarm_id, *columns, micros(F.col("jk_time")).alias("_at"))
-        # The few sizes in use, found once and shared by all tasks.
-        .withColumn("_size", F.explode(sizes.scalar()))
-        .withColumn("_cell", _cell_id(_cell(F.col("_at"), F.col("_size")), F.col("_size")))
+        # The few cell sizes in use, found once and shared by all tasks.
+        alarms.select(*kept, F.explode(sizes.scalar()).alias("_size"))
+        .selectExpr(*kept, f"{_cell_id(_cell(micros('jk_time')))} AS _cell")
     )
     met = _join(probes, cells, "_cell", alarm_id, profile).where(
-        F.col("jk_time").between(F.col("send_time"), F.col("next_send_time"))
+        "jk_time BETWEEN send_time AND next_send_time"
     )
-    aggregates = [
-        F.min(_when_reached(F.col("jk_time"), first, value)).alias(first.name) for first in firsts
-    ]
+    aggregates = [F.expr(f"min(jk_time) {_reached(f, value)} AS {f.name}") for f in firsts]
     if value:
         aggregates.append(F.max(value).alias("peak"))
     return met.groupBy(*WINDOW).agg(*aggregates)
@@ -90,32 +85,19 @@ def _earliest(windows, alarms, alarm_id, firsts, profile, value) -> DataFrame:
 
 def _fetch(earliest, alarms, alarm_id, firsts, profile, value) -> DataFrame:
     """Second pass: the alarm rows at the wanted instants, smallest id first."""
-    names = [first.name for first in firsts]
     kept = [*WINDOW, *(["peak"] if value else [])]
-    wanted = earliest.select(
-        *kept,
-        F.explode(
-            F.array(*[F.struct(F.lit(n).alias("first"), F.col(n).alias("jk_time")) for n in names])
-        ).alias("_want"),
-    ).select(*kept, F.col("_want.first").alias("_first"), F.col("_want.jk_time").alias("jk_time"))
+    each = ", ".join(f"'{f.name}', {f.name}" for f in firsts)
+    wanted = earliest.selectExpr(*kept, f"stack({len(firsts)}, {each}) AS (_first, jk_time)")
     wanted = wanted.where("jk_time IS NOT NULL")
 
-    needed = {c for first in firsts for c in first.columns} | ({value} if value else set())
+    needed = {c for f in firsts for c in f.columns} | ({value} if value else set())
     rows = alarms.select("jk_time", alarm_id, *sorted(needed))
-    reaches = [
-        (F.col("_first") == first.name)
-        & (F.col(value) >= first.level if first.level is not None else F.lit(True))
-        for first in firsts
-    ]
-    found = _join(rows, wanted, "jk_time", alarm_id, profile).where(reduce(or_, reaches))
-    aggregates = [
-        F.min(
-            F.when(
-                F.col("_first") == first.name, F.struct("jk_time", alarm_id, *first.columns)
-            )
-        ).alias(first.name)
-        for first in firsts
-    ]
+    found = _join(rows, wanted, "jk_time", alarm_id, profile)
+    aggregates = []
+    for f in firsts:
+        row = ", ".join(["jk_time", alarm_id, *f.columns])
+        mine = f"_first = '{f.name}'" + (f" AND {value} >= {f.level}" if f.level else "")
+        aggregates.append(F.expr(f"min(struct({row})) FILTER (WHERE {mine}) AS {f.name}"))
     if value:
         aggregates.append(F.max("peak").alias("peak"))
     return found.groupBy(*WINDOW).agg(*aggregates)
@@ -123,50 +105,48 @@ def _fetch(earliest, alarms, alarm_id, firsts, profile, value) -> DataFrame:
 
 def _window_cells(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Each distinct window in its one or two cells, and the sizes in use."""
-    start, end = micros(F.col("send_time")), micros(F.col("next_send_time"))
-    distinct = (
-        windows.where("next_send_time >= send_time")
-        .select(*WINDOW)
-        .distinct()
-        .withColumn("_size", _size(end - start))
+    length = f"{micros('next_send_time')} - {micros('send_time')}"
+    spans = windows.where("next_send_time >= send_time").select(*WINDOW)
+    sizes = spans.select(F.expr(f"collect_set({_size(length)})"))
+    first, last = _cell(micros("send_time")), _cell(micros("next_send_time"))
+    cells = (
+        spans.distinct()
+        .selectExpr(*WINDOW, f"{_size(length)} AS _size")
+        .selectExpr(*WINDOW, "_size", f"explode(sequence({first}, {last})) AS _at")
+        .selectExpr(*WINDOW, f"{_cell_id('_at')} AS _cell")
     )
-    sizes = distinct.select(F.collect_set("_size"))
-    size = F.col("_size")
-    cells = distinct.select(
-        *WINDOW, size, F.explode(F.sequence(_cell(start, size), _cell(end, size))).alias("_cell")
-    ).select(*WINDOW, _cell_id(F.col("_cell"), size).alias("_cell"))
     return cells, sizes
 
 
-def _size(length: Column) -> Column:
+def _size(length: str) -> str:
     """Smallest n with 16**n >= length."""
-    limits = [2 ** (_SIZE_BITS * n) for n in range(_LARGEST)]
-    return sum((F.when(length > F.lit(limit), 1).otherwise(0) for limit in limits), F.lit(0))
+    cases = " ".join(
+        f"WHEN {length} <= {2 ** (_SIZE_BITS * n)} THEN {n}" for n in range(_LARGEST)
+    )
+    return f"CASE {cases} ELSE {_LARGEST} END"
 
 
-def _cell(at: Column, size: Column) -> Column:
-    """Number of the cell of this size that holds an instant (floor, also before 1970)."""
-    return F.call_function("shiftright", at, size * _SIZE_BITS)
+def _cell(at: str) -> str:
+    """Number of the cell of size ``_size`` that holds an instant, also before 1970."""
+    return f"shiftright({at}, _size * {_SIZE_BITS})"
 
 
-def _cell_id(cell: Column, size: Column) -> Column:
+def _cell_id(cell: str) -> str:
     """Cell and size in one long, the key type that hash joins handle best."""
-    return F.shiftleft(cell, _SIZE_BITS) + size
+    return f"shiftleft({cell}, {_SIZE_BITS}) + _size"
 
 
-def _when_reached(result: Column, first: First, value: str | None) -> Column:
-    if first.level is None:
-        return result
-    return F.when(F.col(value) >= first.level, result)
+def _reached(first: First, value: str | None) -> str:
+    return f"FILTER (WHERE {value} >= {first.level})" if first.level else ""
 
 
 def _join(alarms, lookup, on, alarm_id, profile) -> DataFrame:
     """Join the log to a key-sized frame without moving the log if that is safe."""
     if profile.small:
         return alarms.join(F.broadcast(lookup), on)
-    alarms, lookup = salted(alarms, lookup, F.col(alarm_id), profile.sizing.salts)
+    alarms, lookup = salted(alarms, lookup, alarm_id, profile.sizing.salts)
     return alarms.join(lookup, [on, "_salt"])
 
 
-def _instant(at) -> Column:
-    return F.lit(None if at is None else str(at)).cast("timestamp_ntz")
+def _instant(at) -> str:
+    return f"CAST({'NULL' if at is None else repr(str(at))} AS TIMESTAMP_NTZ)"

@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,13 +18,14 @@ from pyspark.sql import functions as F
 class Sizing:
     """Limits that choose between the broadcast plan and the shuffled one.
 
-    ``broadcast_waves``: waves up to which the evaluation windows are broadcast.
-    A window becomes at most two cells of 24 bytes and at most three wanted
-    instants of 40 bytes, so the default stays under about 150 MB.
+    ``broadcast_waves``: waves up to which key-sized frames are broadcast. Per
+    wave these are at most two cells (24 bytes), three wanted instants (40
+    bytes) and one row of matched values (about 300 bytes), so the default
+    stays under about 100 MB, hash tables included.
     ``salts``: ways in which one hot key is split beyond that size.
     """
 
-    broadcast_waves: int = 500_000
+    broadcast_waves: int = 200_000
     salts: int = 16
 
 
@@ -54,7 +55,7 @@ def attach(
     rows: DataFrame,
     lookup: DataFrame,
     on: list[str],
-    salt_by: Column,
+    salt_by: str,
     profile: KeyProfile,
 ) -> DataFrame:
     """Left join ``lookup``, unique on ``on``, to ``rows``.
@@ -63,17 +64,16 @@ def attach(
     ``salts`` tasks; the lookup side, one row per key, is copied to each.
     """
     if profile.small:
-        return rows.join(lookup, on, "left")
+        return rows.join(F.broadcast(lookup), on, "left")
     rows, lookup = salted(rows, lookup, salt_by, profile.sizing.salts)
     return rows.join(lookup, [*on, "_salt"], "left").drop("_salt")
 
 
 def salted(
-    rows: DataFrame, lookup: DataFrame, salt_by: Column, salts: int
+    rows: DataFrame, lookup: DataFrame, salt_by: str, salts: int
 ) -> tuple[DataFrame, DataFrame]:
     """Add a ``_salt`` column to both sides so each row meets each lookup once."""
-    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     return (
-        rows.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int")),
-        lookup.withColumn("_salt", copies),
+        rows.withColumn("_salt", F.expr(f"CAST(pmod(xxhash64({salt_by}), {salts}) AS INT)")),
+        lookup.withColumn("_salt", F.expr(f"explode(sequence(0, {salts - 1}))")),
     )

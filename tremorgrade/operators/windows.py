@@ -49,7 +49,7 @@ def _lead_by_instant(key: DataFrame, profile: KeyProfile) -> DataFrame:
         key.where("send_time IS NOT NULL")
         .groupBy("send_time")
         .agg(F.max("id").alias("_last_id"))
-        .withColumn("_second", F.floor(micros(F.col("send_time")) / F.lit(1_000_000)))
+        .withColumn("_second", F.expr(f"{micros('send_time')} DIV 1000000"))
     )
     seconds = instants.groupBy("_second").agg(F.min("send_time").alias("_head"))
     seconds = seconds.withColumn("_day", F.to_date("_head"))
@@ -69,14 +69,12 @@ def _lead_by_instant(key: DataFrame, profile: KeyProfile) -> DataFrame:
     )
     # All but the last of the waves sent at one instant end where they start.
     return (
-        attach(key, following, ["send_time"], F.col("id"), profile)
-        .withColumn(
-            "next_send_time",
-            F.when(F.col("id") < F.col("_last_id"), F.col("send_time")).otherwise(
-                F.coalesce("_following", "end_time")
-            ),
+        attach(key, following, ["send_time"], "id", profile)
+        .selectExpr(
+            *key.columns,
+            "CASE WHEN id < _last_id THEN send_time ELSE coalesce(_following, end_time) END"
+            " AS next_send_time",
         )
-        .select(*key.columns, "next_send_time")
     )
 
 

@@ -19,7 +19,9 @@ class Evaluation:
     """Lazy tables over one answer key and its P and S alarm logs.
 
     Building one runs a single small aggregate over the key, which decides
-    between the broadcast and the shuffled plans; everything else is lazy.
+    between the broadcast and the shuffled plans; everything else is lazy. The
+    windows, needed several times in every plan, are cached when first
+    computed; ``close`` (or leaving a ``with`` block) frees them.
     """
 
     def __init__(
@@ -37,7 +39,16 @@ class Evaluation:
     @cached_property
     def windows(self) -> DataFrame:
         """The key with ``next_send_time``."""
-        return add_windows(self.key, self.profile)
+        return add_windows(self.key, self.profile).persist()
+
+    def close(self) -> None:
+        self.windows.unpersist()
+
+    def __enter__(self) -> Evaluation:
+        return self
+
+    def __exit__(self, *exc) -> None:
+        self.close()
 
     @cached_property
     def graded_p(self) -> DataFrame:

@@ -8,8 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from tremorgrade.functions import hundredths, percent_text
 
@@ -188,12 +187,13 @@ TIMED_KPIS = (
 
 def aggregate_kpis(frame: DataFrame, kpis) -> DataFrame:
     """Step one: one row that holds the counts and extremes of all ``kpis``."""
-    return frame.agg(*[column for kpi in kpis for column in _aggregates(kpi)])
+    columns = {name: sql for kpi in kpis for name, sql in _aggregates(kpi).items()}
+    return frame.selectExpr(*[f"{sql} AS {name}" for name, sql in columns.items()])
 
 
 def kpi_row(totals: DataFrame, kpi: Kpi) -> DataFrame:
     """Step two: the one-row table of one KPI."""
-    return totals.select(*[column.alias(name) for name, column in _fields(kpi)])
+    return totals.selectExpr(*[f"{sql} AS {name}" for name, sql in _fields(kpi).items()])
 
 
 def run_kpi(frame: DataFrame, kpi: Kpi) -> DataFrame:
@@ -202,82 +202,71 @@ def run_kpi(frame: DataFrame, kpi: Kpi) -> DataFrame:
 
 def scorecard(totals: DataFrame, kpis) -> DataFrame:
     """Step two in long form: one row per KPI and field, values as text."""
-    fields = [
-        F.struct(
-            F.lit(kpi.name).alias("kpi"),
-            F.lit(number).alias("field_no"),
-            F.lit(name).alias("field"),
-            column.cast("string").alias("value"),
-        )
+    rows = [
+        f"'{kpi.name}', {number}, '{name}', CAST({sql} AS STRING)"
         for kpi in kpis
-        for number, (name, column) in enumerate(_fields(kpi), start=1)
+        for number, (name, sql) in enumerate(_fields(kpi).items(), start=1)
     ]
-    return totals.select(F.inline(F.array(*fields)))
+    return totals.selectExpr(
+        f"stack({len(rows)}, {', '.join(rows)}) AS (kpi, field_no, field, value)"
+    )
 
 
-def _aggregates(kpi: Kpi) -> list[Column]:
-    rows = F.expr(kpi.rows) if kpi.rows else F.lit(True)
-    found = [F.count_if(rows).alias(_held(kpi, "total"))] if kpi.total else []
+def _aggregates(kpi: Kpi) -> dict[str, str]:
+    rows = kpi.rows or "true"
+    found = {f"{kpi.name}__total": f"count_if({rows})"} if kpi.total else {}
     for number, share in enumerate(kpi.shares):
-        passes = rows & F.expr(share.passes)
-        counted = F.count_if(passes)
+        passes = f"count_if({rows} AND {share.passes})"
         if share.null_if_empty:
-            counted = F.sum(F.when(rows, F.when(passes, 1).otherwise(0)))
-        found.append(counted.alias(_held(kpi, f"pass{number}")))
+            passes = f"sum(CASE WHEN {share.passes} THEN 1 ELSE 0 END) FILTER (WHERE {rows})"
+        found[f"{kpi.name}__pass{number}"] = passes
         if share.rate_passes:
-            rate = F.count_if(rows & F.expr(share.rate_passes))
-            found.append(rate.alias(_held(kpi, f"rate{number}")))
+            found[f"{kpi.name}__rate{number}"] = f"count_if({rows} AND {share.rate_passes})"
     for extra in kpi.extras:
-        found.append(_extreme(extra, rows).alias(_held(kpi, extra.name)))
+        found[f"{kpi.name}__{extra.name}"] = _extreme(extra, rows)
     return found
 
 
-def _extreme(extra: Extra, rows: Column) -> Column:
-    value = F.when(rows, F.expr(extra.of))
+def _extreme(extra: Extra, rows: str) -> str:
+    if extra.kind == "count_if":
+        return f"count_if({rows} AND {extra.of})"
     if extra.kind == "avg":
         # Twelve places keep the mean exact enough that only the last step rounds.
-        return F.round(F.avg(value.cast("decimal(22,12)")), 3)
-    if extra.kind == "min":
-        return F.min(value)
-    if extra.kind == "count_if":
-        return F.count_if(value)
-    return F.max(value)
+        mean = f"avg(CAST({extra.of} AS DECIMAL(22,12))) FILTER (WHERE {rows})"
+        return f"round({mean}, 3)"
+    function = "min" if extra.kind == "min" else "max"
+    return f"{function}({extra.of}) FILTER (WHERE {rows})"
 
 
-def _fields(kpi: Kpi) -> list[tuple[str, Column]]:
-    total = F.col(_held(kpi, "total"))
-    fields = [("item", F.lit(kpi.item))]
+def _fields(kpi: Kpi) -> dict[str, str]:
+    total = f"{kpi.name}__total"
+    fields = {"item": f"'{kpi.item}'"}
     if kpi.total:
-        fields.append(("total", total))
+        fields["total"] = total
     for number, share in enumerate(kpi.shares):
-        passed = F.col(_held(kpi, f"pass{number}"))
-        rated = F.col(_held(kpi, f"rate{number}")) if share.rate_passes else passed
+        passed = f"{kpi.name}__pass{number}"
+        rated = f"{kpi.name}__rate{number}" if share.rate_passes else passed
+        rate = percent_text(hundredths(rated, total))
         count_name, rate_name, standard_name, verdict_name = share.names
-        fields += [
-            (count_name, passed),
-            (rate_name, F.coalesce(percent_text(hundredths(rated, total)), F.lit(kpi.empty_rate))),
-            (standard_name, F.lit(share.standard)),
-            (verdict_name, _verdict(kpi, share, passed, total)),
-        ]
+        fields[count_name] = passed
+        fields[rate_name] = f"coalesce({rate}, '{kpi.empty_rate}')"
+        fields[standard_name] = f"'{share.standard}'"
+        fields[verdict_name] = _verdict(kpi, share, passed, total)
     for extra in kpi.extras:
-        held = F.col(_held(kpi, extra.name))
+        held = f"{kpi.name}__{extra.name}"
         if extra.kind == "max_text":
-            held = F.concat(held.cast("string"), F.lit("%"))
+            held = f"concat(CAST({held} AS STRING), '%')"
         elif extra.kind == "max_within":
             # A maximum over nothing is not within the limit.
-            held = F.when(held <= extra.limit, YES).otherwise(NO)
-        fields.append((extra.name, held))
+            held = f"CASE WHEN {held} <= {extra.limit} THEN '{YES}' ELSE '{NO}' END"
+        fields[extra.name] = held
     return fields
 
 
-def _verdict(kpi: Kpi, share: Share, passed: Column, total: Column) -> Column:
+def _verdict(kpi: Kpi, share: Share, passed: str, total: str) -> str:
+    reached, asked = f"100 * {passed}", f"{share.limit} * {total}"
     if share.as_shown:
-        reached, asked = hundredths(passed, total), F.lit(share.limit * 100)
-    else:
-        reached, asked = passed * 100, total * share.limit
-    met = reached <= asked if share.at_most else reached >= asked
-    return F.when(total == 0, F.lit(kpi.empty_verdict)).when(met, YES).otherwise(NO)
-
-
-def _held(kpi: Kpi, part: str) -> str:
-    return f"{kpi.name}__{part}"
+        reached, asked = hundredths(passed, total), str(100 * share.limit)
+    met = f"{reached} <= {asked}" if share.at_most else f"{reached} >= {asked}"
+    empty = "NULL" if kpi.empty_verdict is None else f"'{kpi.empty_verdict}'"
+    return f"CASE WHEN {total} = 0 THEN {empty} WHEN {met} THEN '{YES}' ELSE '{NO}' END"

@@ -7,7 +7,7 @@ ties, shared window ends and empty windows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremorgrade.schema import ANSWER_KEY_SCHEMA, P_ALARM_ID, S_ALARM_ID
@@ -15,85 +15,88 @@ from tremorgrade.schema import ANSWER_KEY_SCHEMA, P_ALARM_ID, S_ALARM_ID
 INTERFERENCE = "interference"
 
 
+def _steps(start: int, count: str, step: str) -> str:
+    return f"{start}.0D + CAST({count} AS DOUBLE) * {step}D"
+
+
+def _later(unit: str, count: str) -> str:
+    return f"timestampadd({unit}, CAST({count} AS INT), t)"
+
+
+_KEY = {
+    "id": "event_id",
+    "test_id": "CAST(event_id DIV 100 AS INT)",
+    "waveform_id": "concat('W', event_id)",
+    "station_name": "concat('ST', user_id)",
+    "station_manager": "concat('M', user_id)",
+    "start_time": "t",
+    "send_time": "t",
+    "duration": "60.0D",
+    "end_time": _later("SECOND", "60"),
+    "earthquake_type": f"CASE WHEN event_id % 10 = 0 THEN '{INTERFERENCE}' ELSE 'quake' END",
+}
+
+_TRUTH = {
+    "distance_class": "concat('C', event_id % 3)",
+    "actual_depth": "CAST(event_id % 40 AS DOUBLE)",
+    "actual_magnitude": _steps(3, "event_id % 50", "0.1"),
+    "actual_distance": "CAST(event_id % 300 AS DOUBLE)",
+    "actual_latitude": _steps(20, "event_id % 1000", "0.01"),
+    "actual_longitude": _steps(100, "event_id % 700", "0.01"),
+    "actual_peak": "value",
+    "p_wave_index": "CAST(event_id % 5 * 100 AS INT)",
+    "p_wave_time": _later("SECOND", "event_id % 5"),
+    "s_wave_first_index": "CAST((event_id % 5 + 2) * 100 AS INT)",
+    "s_wave_first_time": _later("SECOND", "event_id % 5 + 2"),
+    "s_wave_first_peak": "40.0D",
+    "s_wave_second_index": "CAST((event_id % 5 + 4) * 100 AS INT)",
+    "s_wave_second_time": _later("SECOND", "event_id % 5 + 4"),
+    "s_wave_second_peak": "80.0D",
+    "s_wave_third_index": "CAST((event_id % 5 + 6) * 100 AS INT)",
+    "s_wave_third_time": _later("SECOND", "event_id % 5 + 6"),
+    "s_wave_third_peak": "120.0D",
+    "azimuth": "CAST(event_id % 360 AS DOUBLE)",
+}
+
+_ALARM = {
+    "jk_time": "CASE WHEN event_id % 97 <> 0 THEN t END",
+    "rcv_jktime": _later("MILLISECOND", "event_id % 200"),
+    "earth_id": "CASE WHEN event_id % 53 <> 0 THEN concat('E', event_id DIV 20) END",
+    "sta_code": "concat('ST', user_id)",
+    "device_code": "concat('D', user_id)",
+}
+
+_P_ALARM = {
+    P_ALARM_ID: "CAST(event_id AS STRING)",
+    **_ALARM,
+    "source_longitude": _steps(100, "event_id % 691", "0.0101"),
+    "source_latitude": _steps(20, "event_id % 997", "0.0101"),
+    "epi_dist": "CAST(event_id % 310 AS DOUBLE)",
+    "azi_angle": "CAST(event_id % 350 AS DOUBLE)",
+    "earthquake_level": _steps(3, "event_id % 45", "0.11"),
+}
+
+_S_ALARM = {S_ALARM_ID: "CAST(event_id AS STRING)", **_ALARM, "x_acc_value": "value"}
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    minute = F.date_trunc("MINUTE", "ts").cast("timestamp_ntz")
+    """The events with ``t``, their time cut to the minute."""
+    minute = F.expr("CAST(date_trunc('MINUTE', ts) AS TIMESTAMP_NTZ)")
     return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("t", minute)
 
 
 def answer_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.col("event_id")
-    truth = {
-        "distance_class": F.concat(F.lit("C"), (e % 3).cast("string")),
-        "actual_depth": (e % 40).cast("double"),
-        "actual_magnitude": _steps(3, e % 50, 0.1),
-        "actual_distance": (e % 300).cast("double"),
-        "actual_latitude": _steps(20, e % 1000, 0.01),
-        "actual_longitude": _steps(100, e % 700, 0.01),
-        "actual_peak": F.col("value"),
-        "p_wave_index": (e % 5 * 100).cast("int"),
-        "p_wave_time": _later("SECOND", e % 5),
-        "azimuth": (e % 360).cast("double"),
-    }
-    for n, name in enumerate(("first", "second", "third"), start=1):
-        truth[f"s_wave_{name}_index"] = ((e % 5 + 2 * n) * 100).cast("int")
-        truth[f"s_wave_{name}_time"] = _later("SECOND", e % 5 + 2 * n)
-        truth[f"s_wave_{name}_peak"] = F.lit(40.0) * n
-    columns = {
-        "id": e,
-        "test_id": F.floor(e / 100).cast("int"),
-        "waveform_id": F.concat(F.lit("W"), e.cast("string")),
-        "station_name": F.concat(F.lit("ST"), F.col("user_id").cast("string")),
-        "station_manager": F.concat(F.lit("M"), F.col("user_id").cast("string")),
-        "start_time": F.col("t"),
-        "send_time": F.col("t"),
-        "duration": F.lit(60.0),
-        "end_time": _later("SECOND", F.lit(60)),
-        "earthquake_type": F.when(e % 10 == 0, INTERFERENCE).otherwise("quake"),
-        **{name: F.when(e % 10 != 0, value) for name, value in truth.items()},
-    }
+    truth = {name: f"CASE WHEN event_id % 10 <> 0 THEN {sql} END" for name, sql in _TRUTH.items()}
+    columns = {**_KEY, **truth}
     rows = events(spark, sf_dir).where("event_type = 'error'")
-    return rows.select(*[columns[name].alias(name) for name in ANSWER_KEY_SCHEMA.names])
+    return rows.selectExpr(*[f"{columns[name]} AS {name}" for name in ANSWER_KEY_SCHEMA.names])
 
 
 def p_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.col("event_id")
     rows = events(spark, sf_dir).where("event_type IN ('click', 'view')")
-    return rows.select(
-        e.cast("string").alias(P_ALARM_ID),
-        *_alarm_columns(),
-        _steps(100, e % 691, 0.0101).alias("source_longitude"),
-        _steps(20, e % 997, 0.0101).alias("source_latitude"),
-        (e % 310).cast("double").alias("epi_dist"),
-        (e % 350).cast("double").alias("azi_angle"),
-        _steps(3, e % 45, 0.11).alias("earthquake_level"),
-    )
+    return rows.selectExpr(*[f"{sql} AS {name}" for name, sql in _P_ALARM.items()])
 
 
 def s_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).where("event_type IN ('purchase', 'signup')")
-    return rows.select(
-        F.col("event_id").cast("string").alias(S_ALARM_ID),
-        *_alarm_columns(),
-        F.col("value").alias("x_acc_value"),
-    )
-
-
-def _alarm_columns() -> list[Column]:
-    e = F.col("event_id")
-    user = F.col("user_id").cast("string")
-    event = F.concat(F.lit("E"), F.floor(e / 20).cast("string"))
-    return [
-        F.when(e % 97 != 0, F.col("t")).alias("jk_time"),
-        _later("MILLISECOND", e % 200).alias("rcv_jktime"),
-        F.when(e % 53 != 0, event).alias("earth_id"),
-        F.concat(F.lit("ST"), user).alias("sta_code"),
-        F.concat(F.lit("D"), user).alias("device_code"),
-    ]
-
-
-def _steps(start: float, count: Column, step: float) -> Column:
-    return F.lit(float(start)) + count.cast("double") * F.lit(float(step))
-
-
-def _later(unit: str, count: Column) -> Column:
-    return F.timestamp_add(unit, count.cast("int"), F.col("t")).cast("timestamp_ntz")
+    return rows.selectExpr(*[f"{sql} AS {name}" for name, sql in _S_ALARM.items()])
