@@ -24,11 +24,12 @@ from tremorgrade.sources.answer_key import add_row_ids
 INTERFERENCE = "干扰波"
 NO_TIME = ("null", "None")
 
-_WHITESPACE = (
-    "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0       "
-    "         　"
-)
-_SPACES = "'" + "".join(f"\\u{ord(c):04X}" for c in _WHITESPACE) + "'"
+# Every character counted as white space, the ideographic space included.
+_WHITESPACE = [
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+    0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+]
+_SPACES = "'" + "".join(f"\\u{code:04X}" for code in _WHITESPACE) + "'"
 
 _DIGITS = r"\\d+(_\\d+)*"
 _INTEGER = f"^[+-]?{_DIGITS}$"

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremorgrade.schema import ANSWER_KEY_SCHEMA, P_ALARM_ID, S_ALARM_ID
+from tremorgrade.schema import ANSWER_KEY_FIELDS, ANSWER_KEY_SCHEMA, P_ALARM_ID, S_ALARM_ID
+from tremorgrade.sources import cleaning
 
 INTERFERENCE = "interference"
 
@@ -79,6 +80,61 @@ _P_ALARM = {
 _S_ALARM = {S_ALARM_ID: "CAST(event_id AS STRING)", **_ALARM, "x_acc_value": "value"}
 
 
+# The answer key as a file would hold it, with damage spread by event number:
+# blanks, bad and too large numbers, over-long text, times in every form.
+_CLOCK = "substring(CAST(t AS STRING), 12, 8)"
+_DAY = "substring(CAST(t AS STRING), 1, 10)"
+_SECONDS = {
+    "p_wave_time": "event_id % 5",
+    "s_wave_first_time": "event_id % 5 + 2",
+    "s_wave_second_time": "event_id % 5 + 4",
+    "s_wave_third_time": "event_id % 5 + 6",
+    "end_time": "60",
+}
+
+_TEXT_KEY = {
+    "test_id": """CASE WHEN event_id % 23 = 0 THEN '   ' WHEN event_id % 29 = 0 THEN '1.0'
+        WHEN event_id % 31 = 0 THEN '99999999999' WHEN event_id % 3 = 0
+        THEN concat(' ', event_id DIV 100, ' ') ELSE CAST(event_id DIV 100 AS STRING) END""",
+    "waveform_id": """CASE WHEN event_id % 19 = 0 THEN repeat('W', 25)
+        ELSE concat('W', event_id) END""",
+    "station_name": "CASE WHEN event_id % 41 = 0 THEN '' ELSE concat('ST', user_id) END",
+    "station_manager": "concat('M', user_id)",
+    "start_time": "CAST(t AS STRING)",
+    "send_time": f"""CASE event_id % 11
+        WHEN 0 THEN concat(CAST(t AS STRING), '.12')
+        WHEN 1 THEN concat(year(t), '/', month(t), '/', day(t), ' ', {_CLOCK})
+        WHEN 2 THEN concat(replace({_DAY}, '-', ''), ' ', {_CLOCK})
+        WHEN 3 THEN concat(replace({_DAY}, '-', '/'), ' ', {_CLOCK})
+        WHEN 4 THEN concat(CAST(t AS STRING), '.1234567')
+        WHEN 5 THEN concat('  ', CAST(t AS STRING), ' ')
+        ELSE CAST(t AS STRING) END""",
+    "duration": """CASE WHEN event_id % 43 = 0 THEN 'abc' WHEN event_id % 47 = 0 THEN '6e1'
+        ELSE '60.0' END""",
+    "earthquake_type": f"""CASE WHEN event_id % 10 = 0 THEN '{cleaning.INTERFERENCE}'
+        ELSE 'quake' END""",
+    "distance_class": "concat('C', event_id % 3)",
+    "actual_depth": "CASE WHEN event_id % 7 = 0 THEN ' ' ELSE CAST(event_id % 40 AS STRING) END",
+    "actual_magnitude": "CAST(CAST(3 + (event_id % 50) * 0.1BD AS DECIMAL(6,1)) AS STRING)",
+    "actual_distance": "CAST(event_id % 300 AS STRING)",
+    "actual_latitude": "CAST(CAST(20 + (event_id % 1000) * 0.01BD AS DECIMAL(8,2)) AS STRING)",
+    "actual_longitude": "CAST(CAST(100 + (event_id % 700) * 0.01BD AS DECIMAL(8,2)) AS STRING)",
+    "actual_peak": "CAST(CAST(value AS DECIMAL(10,2)) AS STRING)",
+    "p_wave_index": "CASE WHEN event_id % 59 = 0 THEN 'x' ELSE CAST(event_id % 5 AS STRING) END",
+    "s_wave_first_index": "CAST(event_id % 5 + 2 AS STRING)",
+    "s_wave_first_peak": "'40'",
+    "s_wave_second_index": "CAST(event_id % 5 + 4 AS STRING)",
+    "s_wave_second_peak": "'80.'",
+    "s_wave_third_index": "CAST(event_id % 5 + 6 AS STRING)",
+    "s_wave_third_peak": "'.12e3'",
+    "azimuth": "CASE WHEN event_id % 13 = 0 THEN '' ELSE CAST(event_id % 360 AS STRING) END",
+    **{
+        name: f"CASE WHEN event_id % 17 = 0 THEN 'None' ELSE CAST({_later('SECOND', n)} AS STRING) END"
+        for name, n in _SECONDS.items()
+    },
+}
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events with ``t``, their time cut to the minute."""
     minute = F.expr("CAST(date_trunc('MINUTE', ts) AS TIMESTAMP_NTZ)")
@@ -100,3 +156,11 @@ def p_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).where("event_type IN ('purchase', 'signup')")
     return rows.selectExpr(*[f"{sql} AS {name}" for name, sql in _S_ALARM.items()])
+
+
+def text_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The damaged answer key: event number and the 28 columns as text."""
+    rows = events(spark, sf_dir).where("event_type = 'error'")
+    return rows.selectExpr(
+        "event_id AS id", *[f"{_TEXT_KEY[f.name]} AS {f.name}" for f in ANSWER_KEY_FIELDS]
+    )
