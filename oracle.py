@@ -90,11 +90,12 @@ def _first(log, condition="true"):
 
 
 def _haversine(lat1, lon1, lat2, lon2):
-    return (
-        f"2 * 6371 * asin(sqrt(least(CAST(1 AS DOUBLE), power(sin(radians(({lat1} - {lat2}) / 2)), 2)"
+    square = (
+        f"(power(sin(radians(({lat1} - {lat2}) / 2)), 2)"
         f" + cos(radians({lat2})) * cos(radians({lat1}))"
-        f" * power(sin(radians(({lon1} - {lon2}) / 2)), 2))))"
+        f" * power(sin(radians(({lon1} - {lon2}) / 2)), 2))"
     )
+    return f"2 * 6371 * asin(sqrt(CASE WHEN {square} > 1 THEN 1 ELSE {square} END))"
 
 
 _P = f"""pf AS ({_first("pa")}),

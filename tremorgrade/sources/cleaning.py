@@ -69,68 +69,72 @@ def parse_time(text: str) -> str:
     With a dot: dashed date and one to six places. Exactly 19 characters:
     dashed date. Otherwise dashed, compact or slashed date.
     """
-    t = stripped(text)
-    dashed = _timestamp(t, _DASHED + "$")
-    compact = _timestamp(f"regexp_replace({t}, '{_COMPACT_DATE}', '$1-$2-$3')", _DASHED + "$")
-    slashed = f"CASE WHEN {t} RLIKE '{_SLASHED}$' THEN {_as_time(f'''replace({t}, '/', '-')''')} END"
+    return _time_of(stripped(text))
+
+
+def _time_of(t: str) -> str:
+    unslashed = f"replace({t}, '/', '-')"
+    uncompacted = f"regexp_replace({t}, '{_COMPACT_DATE}', '$1-$2-$3')"
     return (
         f"CASE WHEN {t} IN {NO_TIME} THEN NULL"
-        f" WHEN instr({t}, '.') > 0 THEN {_timestamp(t, _DASHED + _FRACTION + '$')}"
-        f" WHEN length({t}) = 19 THEN {dashed}"
-        f" ELSE coalesce({compact}, {slashed}) END"
+        f" WHEN instr({t}, '.') > 0 THEN {_time_if(t, _DASHED + _FRACTION, t)}"
+        f" WHEN length({t}) = 19 THEN {_time_if(t, _DASHED, t)}"
+        f" WHEN instr({t}, '/') > 0 THEN {_time_if(t, _SLASHED, unslashed)}"
+        f" ELSE {_time_if(uncompacted, _DASHED, uncompacted)} END"
     )
 
 
-def _timestamp(text: str, form: str) -> str:
-    return f"CASE WHEN {text} RLIKE '{form}' THEN {_as_time(text)} END"
-
+def _time_if(text: str, form: str, dashed: str) -> str:
+    one_space = rf"regexp_replace({dashed}, '\\s+', ' ')"
+    return f"CASE WHEN {text} RLIKE '{form}$' THEN try_cast({one_space} AS TIMESTAMP_NTZ) END"
 
-def _as_time(text: str) -> str:
-    return rf"try_cast(regexp_replace({text}, '\\s+', ' ') AS TIMESTAMP_NTZ)"
 
-
-def _number(name: str, kind: str) -> str:
-    return f"try_cast(replace({stripped(name)}, '_', '') AS {kind})"
+def _number(t: str, form: str, kind: str) -> str:
+    return f"CASE WHEN {t} RLIKE '{form}' THEN try_cast(replace({t}, '_', '') AS {kind}) END"
 
 
 def _value(field: T.StructField) -> str:
-    name = field.name
+    """SQL for the typed value of a field, from its stripped text."""
+    t = f"_s_{field.name}"
     if isinstance(field.dataType, T.TimestampNTZType):
-        return parse_time(name)
+        return _time_of(t)
     if isinstance(field.dataType, T.IntegerType):
-        return f"CASE WHEN {stripped(name)} RLIKE '{_INTEGER}' THEN {_number(name, 'INT')} END"
+        return _number(t, _INTEGER, "INT")
     if isinstance(field.dataType, T.DoubleType):
-        return f"CASE WHEN {stripped(name)} RLIKE '{_NUMBER}' THEN {_number(name, 'DOUBLE')} END"
+        return _number(t, _NUMBER, "DOUBLE")
     # Spaces beyond the limit are cut, anything else beyond it is an error.
-    return f"substring({name}, 1, {TEXT_LIMITS[name]})"
+    return f"substring({field.name}, 1, {TEXT_LIMITS[field.name]})"
 
 
-def _errors(field: T.StructField) -> list[str]:
-    """SQL for each error a field can have: its text, or null."""
-    name, found = field.name, []
-    value = f"_typed.{name}"
+def _error(field: T.StructField) -> str:
+    """SQL for what is wrong with a field: a text, or null. Empty if nothing can be."""
+    name, cases = field.name, []
     if isinstance(field.dataType, (T.IntegerType, T.DoubleType)):
-        form = _INTEGER if isinstance(field.dataType, T.IntegerType) else _NUMBER
-        well_formed = f"{stripped(name)} RLIKE '{form}'"
-        found.append(f"CASE WHEN NOT {well_formed} THEN 'bad_value:{name}' END")
-        found.append(f"CASE WHEN {well_formed} AND {value} IS NULL THEN 'out_of_range:{name}' END")
-        missing = f"{name} IS NULL"
-    else:
-        missing = f"{value} IS NULL"
+        unread = f"{name} IS NOT NULL AND _v_{name} IS NULL"
+        if isinstance(field.dataType, T.IntegerType):
+            whole = f"_s_{name} RLIKE '{_INTEGER}'"
+            cases.append(f"WHEN {unread} AND {whole} THEN 'out_of_range:{name}'")
+        cases.append(f"WHEN {unread} THEN 'bad_value:{name}'")
     if name in TEXT_LIMITS:
-        limit = TEXT_LIMITS[name]
-        found.append(f"CASE WHEN length(rtrim({name})) > {limit} THEN 'too_long:{name}' END")
+        too_long = f"length(rtrim({name})) > {TEXT_LIMITS[name]}"
+        cases.append(f"WHEN {too_long} THEN 'too_long:{name}'")
     if not field.nullable:
-        found.append(f"CASE WHEN {missing} THEN 'missing:{name}' END")
-    return found
+        cases.append(f"WHEN _v_{name} IS NULL THEN 'missing:{name}'")
+    return f"CASE {' '.join(cases)} END" if cases else ""
 
 
 def typed(rows: DataFrame) -> DataFrame:
-    """Add ``_typed``, the row in its target types, and ``errors``, a text list."""
-    values = ", ".join(f"{_value(f)} AS {f.name}" for f in ANSWER_KEY_FIELDS)
-    checks = ", ".join(check for f in ANSWER_KEY_FIELDS for check in _errors(f))
-    return rows.selectExpr("*", f"struct({values}) AS _typed").selectExpr(
-        "*", f"array_compact(array({checks})) AS errors"
+    """Add ``_v_<column>``, the values in their target types, and ``errors``.
+
+    In steps, so that no text is stripped and no pattern tried twice.
+    """
+    read = [f for f in ANSWER_KEY_FIELDS if not isinstance(f.dataType, T.StringType)]
+    errors = ", ".join(filter(None, map(_error, ANSWER_KEY_FIELDS)))
+    values = [f"_v_{f.name}" for f in ANSWER_KEY_FIELDS]
+    return (
+        rows.selectExpr("*", *[f"{stripped(f.name)} AS _s_{f.name}" for f in read])
+        .selectExpr("*", *[f"{_value(f)} AS _v_{f.name}" for f in ANSWER_KEY_FIELDS])
+        .selectExpr(*rows.columns, *values, f"array_compact(array({errors})) AS errors")
     )
 
 
@@ -140,9 +144,19 @@ def _replace(rows: DataFrame, expressions: dict[str, str]) -> DataFrame:
     )
 
 
+# Nullability is settled by the checks, not by the reader.
+_NULLABLE_KEY = T.StructType(
+    [T.StructField(f.name, f.dataType, True, f.metadata) for f in ANSWER_KEY_SCHEMA]
+)
+
+
 @dataclass(frozen=True)
 class Ingested:
-    """Cleaned rows with their errors, split on demand."""
+    """Cleaned rows with their errors, split on demand.
+
+    The rows are read and checked once and cached, as the key, the quarantine
+    and the report all come from them; ``close`` frees them.
+    """
 
     checked: DataFrame
 
@@ -150,12 +164,14 @@ class Ingested:
     def loaded(self) -> DataFrame:
         """The answer key: rows without an error."""
         good = self.checked.where("size(errors) = 0")
-        return good.selectExpr("id", "_typed.*").to(ANSWER_KEY_SCHEMA_NULLABLE)
+        values = [f"_v_{f.name} AS {f.name}" for f in ANSWER_KEY_FIELDS]
+        return good.selectExpr("id", *values).to(_NULLABLE_KEY)
 
     @property
     def rejected(self) -> DataFrame:
         """Rows with errors: number, text as cleaned, and the errors."""
-        return self.checked.where("size(errors) > 0").drop("_typed")
+        bad = self.checked.where("size(errors) > 0")
+        return bad.drop(*[f"_v_{f.name}" for f in ANSWER_KEY_FIELDS])
 
     def report(self) -> DataFrame:
         """One row of counts. ``parsed`` rows convert but may still be refused."""
@@ -166,19 +182,14 @@ class Ingested:
             f"count_if(NOT {bad}) AS parsed",
             "count_if(size(errors) = 0) AS loaded",
             "count_if(size(errors) > 0) AS rejected",
-        ).selectExpr(
-            "*", f"coalesce(CAST({loaded_pct} AS DECIMAL(5,2)), 0.00BD) AS loaded_pct"
-        )
+        ).selectExpr("*", f"coalesce(CAST({loaded_pct} AS DECIMAL(5,2)), 0.00BD) AS loaded_pct")
 
-
-# Nullability is settled by the checks, not by the reader.
-ANSWER_KEY_SCHEMA_NULLABLE = T.StructType(
-    [T.StructField(f.name, f.dataType, True, f.metadata) for f in ANSWER_KEY_SCHEMA]
-)
+    def close(self) -> None:
+        self.checked.unpersist()
 
 
 def ingest(raw: DataFrame, interference: str = INTERFERENCE) -> Ingested:
     """Clean text rows. An ``id`` column already there is kept, else rows are numbered."""
     if "id" not in raw.columns:
         raw = add_row_ids(raw)
-    return Ingested(typed(blank_to_null(null_interference(raw, interference))))
+    return Ingested(typed(blank_to_null(null_interference(raw, interference))).persist())
