@@ -64,11 +64,19 @@ def grade_p(windows: DataFrame, p_alarms: DataFrame, profile: KeyProfile) -> Dat
     return attach(windows, picked, WINDOW, "id", profile).selectExpr("*", *_p_measures())
 
 
-def grade_s(windows: DataFrame, s_alarms: DataFrame, profile: KeyProfile) -> DataFrame:
+def grade_s(
+    windows: DataFrame,
+    s_alarms: DataFrame,
+    profile: KeyProfile,
+    onto: DataFrame | None = None,
+) -> DataFrame:
     """Add the first, first-over-level and peak S alarm and the twelve S measures.
 
     Waves below the peak floor keep null S columns; ``s_eligible`` marks the rest.
+    ``onto`` is the frame to extend, if not ``windows`` itself: matching from the
+    windows alone keeps a P match already in the frame out of the S match.
     """
+    waves = windows if onto is None else onto
     firsts = [
         First("first", ("rcv_jktime", "sta_code", "device_code")),
         *[First(name, ("rcv_jktime",), level) for name, level in S_LEVELS.items()],
@@ -91,9 +99,9 @@ def grade_s(windows: DataFrame, s_alarms: DataFrame, profile: KeyProfile) -> Dat
     # A weak wave may share its window with a strong one: it still has no S alarm.
     own = {name: f"CASE WHEN s_eligible THEN {name} END" for name in alarm}
     return (
-        attach(windows, picked, WINDOW, "id", profile)
+        attach(waves, picked, WINDOW, "id", profile)
         .withColumn("s_eligible", F.expr(f"coalesce({_ELIGIBLE}, false)"))
-        .selectExpr(*windows.columns, "s_eligible", *_named(own))
+        .selectExpr(*waves.columns, "s_eligible", *_named(own))
         .selectExpr("*", *_s_measures())
     )
 

@@ -63,7 +63,7 @@ class Evaluation:
     @cached_property
     def graded(self) -> DataFrame:
         """All waves with both kinds of alarms."""
-        return grade.grade_s(self.graded_p, self.s_alarms, self.profile)
+        return grade.grade_s(self.windows, self.s_alarms, self.profile, onto=self.graded_p)
 
     def answer_key(self) -> DataFrame:
         return self.windows

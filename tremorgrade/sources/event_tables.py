@@ -135,10 +135,16 @@ _TEXT_KEY = {
 }
 
 
+_EVENTS = (
+    "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
+)
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events with ``t``, their time cut to the minute."""
     minute = F.expr("CAST(date_trunc('MINUTE', ts) AS TIMESTAMP_NTZ)")
-    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("t", minute)
+    rows = spark.read.schema(_EVENTS).parquet(f"{sf_dir}/events.parquet")
+    return rows.withColumn("t", minute)
 
 
 def answer_key(spark: SparkSession, sf_dir: str) -> DataFrame:
