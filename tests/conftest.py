@@ -17,6 +17,8 @@ def spark():
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "6g")
+        .config("spark.sql.debug.maxToStringFields", "1000")
+        .config("spark.sql.maxMetadataStringLength", "10000")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )

@@ -56,7 +56,18 @@ def null_interference(rows: DataFrame, label: str = INTERFERENCE) -> DataFrame:
 def blank_to_null(rows: DataFrame) -> DataFrame:
     """Turn empty and all-space text into null; other text stays as it is."""
     texts = [f.name for f in rows.schema if isinstance(f.dataType, T.StringType)]
-    return _replace(rows, {c: f"CASE WHEN {stripped(c)} <> '' THEN {c} END" for c in texts})
+    kept = _for_each(texts, "x", f"CASE WHEN {stripped('x')} <> '' THEN x END")
+    picked = {name: f"_kept[{i}]" for i, name in enumerate(texts)}
+    return _replace(rows.selectExpr("*", f"{kept} AS _kept"), picked, rows.columns)
+
+
+def _for_each(names: list[str], variable: str, sql: str) -> str:
+    """One lambda over many columns: code the size of one, which stays compiled.
+
+    Dozens of such expressions side by side make one method too long for the
+    JVM to compile, and then every row is interpreted.
+    """
+    return f"transform(array({', '.join(names)}), {variable} -> {sql})"
 
 
 def stripped(text: str) -> str:
@@ -85,25 +96,41 @@ def _time_of(t: str) -> str:
 
 
 def _time_if(text: str, form: str, dashed: str) -> str:
-    one_space = rf"regexp_replace({dashed}, '\\s+', ' ')"
-    return f"CASE WHEN {text} RLIKE '{form}$' THEN try_cast({one_space} AS TIMESTAMP_NTZ) END"
+    # The cast knows a single space; the replacement is for the rare longer gap.
+    gap_closed = rf"regexp_replace({dashed}, '\\s+', ' ')"
+    time = f"coalesce(try_cast({dashed} AS TIMESTAMP_NTZ), try_cast({gap_closed} AS TIMESTAMP_NTZ))"
+    return f"CASE WHEN {text} RLIKE '{form}$' THEN {time} END"
 
 
 def _number(t: str, form: str, kind: str) -> str:
     return f"CASE WHEN {t} RLIKE '{form}' THEN try_cast(replace({t}, '_', '') AS {kind}) END"
 
 
-def _value(field: T.StructField) -> str:
-    """SQL for the typed value of a field, from its stripped text."""
-    t = f"_s_{field.name}"
-    if isinstance(field.dataType, T.TimestampNTZType):
-        return _time_of(t)
-    if isinstance(field.dataType, T.IntegerType):
-        return _number(t, _INTEGER, "INT")
-    if isinstance(field.dataType, T.DoubleType):
-        return _number(t, _NUMBER, "DOUBLE")
-    # Spaces beyond the limit are cut, anything else beyond it is an error.
-    return f"substring({field.name}, 1, {TEXT_LIMITS[field.name]})"
+# How each kind of field is read from its stripped text ``t``.
+_READERS = {
+    T.TimestampNTZType: ("_times", _time_of("t")),
+    T.IntegerType: ("_ints", _number("t", _INTEGER, "INT")),
+    T.DoubleType: ("_doubles", _number("t", _NUMBER, "DOUBLE")),
+}
+
+
+def typed(rows: DataFrame) -> DataFrame:
+    """Add ``_v_<column>``, the values in their target types, and ``errors``."""
+    arrays, values = [], {}
+    for kind, (array, reader) in _READERS.items():
+        names = [f.name for f in ANSWER_KEY_FIELDS if isinstance(f.dataType, kind)]
+        strip = _for_each(names, "x", stripped("x"))
+        arrays.append(f"transform({strip}, t -> {reader}) AS {array}")
+        values |= {name: f"{array}[{i}]" for i, name in enumerate(names)}
+    for name, limit in TEXT_LIMITS.items():
+        # Spaces beyond the limit are cut, anything else beyond it is an error.
+        values[name] = f"substring({name}, 1, {limit})"
+    errors = ", ".join(filter(None, map(_error, ANSWER_KEY_FIELDS)))
+    return (
+        rows.selectExpr("*", *arrays)
+        .selectExpr(*rows.columns, *[f"{values[f.name]} AS _v_{f.name}" for f in ANSWER_KEY_FIELDS])
+        .selectExpr("*", f"array_compact(array({errors})) AS errors")
+    )
 
 
 def _error(field: T.StructField) -> str:
@@ -112,7 +139,7 @@ def _error(field: T.StructField) -> str:
     if isinstance(field.dataType, (T.IntegerType, T.DoubleType)):
         unread = f"{name} IS NOT NULL AND _v_{name} IS NULL"
         if isinstance(field.dataType, T.IntegerType):
-            whole = f"_s_{name} RLIKE '{_INTEGER}'"
+            whole = f"{stripped(name)} RLIKE '{_INTEGER}'"
             cases.append(f"WHEN {unread} AND {whole} THEN 'out_of_range:{name}'")
         cases.append(f"WHEN {unread} THEN 'bad_value:{name}'")
     if name in TEXT_LIMITS:
@@ -123,24 +150,9 @@ def _error(field: T.StructField) -> str:
     return f"CASE {' '.join(cases)} END" if cases else ""
 
 
-def typed(rows: DataFrame) -> DataFrame:
-    """Add ``_v_<column>``, the values in their target types, and ``errors``.
-
-    In steps, so that no text is stripped and no pattern tried twice.
-    """
-    read = [f for f in ANSWER_KEY_FIELDS if not isinstance(f.dataType, T.StringType)]
-    errors = ", ".join(filter(None, map(_error, ANSWER_KEY_FIELDS)))
-    values = [f"_v_{f.name}" for f in ANSWER_KEY_FIELDS]
-    return (
-        rows.selectExpr("*", *[f"{stripped(f.name)} AS _s_{f.name}" for f in read])
-        .selectExpr("*", *[f"{_value(f)} AS _v_{f.name}" for f in ANSWER_KEY_FIELDS])
-        .selectExpr(*rows.columns, *values, f"array_compact(array({errors})) AS errors")
-    )
-
-
-def _replace(rows: DataFrame, expressions: dict[str, str]) -> DataFrame:
+def _replace(rows: DataFrame, expressions: dict[str, str], columns=None) -> DataFrame:
     return rows.selectExpr(
-        *[f"{expressions[c]} AS {c}" if c in expressions else c for c in rows.columns]
+        *[f"{expressions[c]} AS {c}" if c in expressions else c for c in columns or rows.columns]
     )
 
 
