@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 from datetime import datetime, timedelta
 
 import pytest
@@ -20,6 +21,7 @@ def spark():
         .config("spark.sql.debug.maxToStringFields", "1000")
         .config("spark.sql.maxMetadataStringLength", "10000")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tremorgrade-test-"))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
@@ -27,7 +29,7 @@ def spark():
     session.stop()
 
 
-@pytest.fixture(autouse=True)
+@pytest.fixture(autouse=True, scope="module")
 def no_cached_tables(spark):
     yield
     spark.catalog.clearCache()

@@ -1,5 +1,5 @@
 from conftest import P_ALARMS, S_ALARMS, WAVES, at, make_key, make_p, make_s
-from tremorgrade import Evaluation
+from tremorgrade import Evaluation, session
 from tremorgrade.labels import DETAIL_COLUMNS_ZH, details_zh
 from tremorgrade.plans.details import DETAIL_COLUMNS
 from tremorgrade.plans.kpi import KPIS, TIMED_KPIS, Kpi, Share
@@ -79,11 +79,23 @@ def test_write_timed(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/p_by_id_in_range").count() == 2
 
 
-def test_evaluation_frees_its_cache(spark):
-    with evaluation(spark) as run:
-        run.windows.count()
-        assert run.windows.storageLevel.useMemory
-    assert not run.windows.storageLevel.useMemory
+def test_windows_are_computed_once_into_the_shared_folder(spark):
+    run = evaluation(spark)
+    assert run.windows is run.windows
+    assert spark.conf.get("spark.checkpoint.dir") in run.windows.inputFiles()[0]
+    assert run.windows.schema["azimuth"].metadata["comment"] == "azimuth"
+
+
+def test_a_cluster_without_a_shared_folder_gets_a_cache(spark, monkeypatch):
+    monkeypatch.setattr(session, "_shared_folder", lambda _: None)
+    windows = evaluation(spark).windows
+    assert windows.storageLevel.useDisk and windows.count() == 3
+
+
+def test_nothing_runs_before_a_table_needs_it(spark):
+    run = evaluation(spark)
+    run.p_by_id()
+    assert "profile" not in run.__dict__ and "windows" not in run.__dict__
 
 
 def test_alarm_sources(spark, tmp_path):

@@ -7,21 +7,21 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from tremorgrade.operators import by_id, grade
-from tremorgrade.operators.sizing import Sizing, profile_key
+from tremorgrade.operators.sizing import KeyProfile, Sizing, profile_key
 from tremorgrade.operators.windows import add_windows
 from tremorgrade.plans import details as report
 from tremorgrade.plans import kpi as kpis
+from tremorgrade.session import computed_once
 
 _BY_NAME = {k.name: k for k in (*kpis.KPIS, *kpis.TIMED_KPIS)}
 
 
 class Evaluation:
-    """Lazy tables over one answer key and its P and S alarm logs.
+    """Tables over one answer key and its P and S alarm logs.
 
-    Building one runs a single small aggregate over the key, which decides
-    between the broadcast and the shuffled plans; everything else is lazy. The
-    windows, needed several times in every plan, are cached when first
-    computed; ``close`` (or leaving a ``with`` block) frees them.
+    All tables are lazy. The first one that needs the windows counts the waves,
+    which decides between the broadcast and the shuffled plans, and computes the
+    windows once, as every match starts from them.
     """
 
     def __init__(
@@ -34,21 +34,16 @@ class Evaluation:
         self.key = key
         self.p_alarms = p_alarms
         self.s_alarms = s_alarms
-        self.profile = profile_key(key, sizing)
+        self.sizing = sizing
+
+    @cached_property
+    def profile(self) -> KeyProfile:
+        return profile_key(self.key, self.sizing)
 
     @cached_property
     def windows(self) -> DataFrame:
         """The key with ``next_send_time``."""
-        return add_windows(self.key, self.profile).persist()
-
-    def close(self) -> None:
-        self.windows.unpersist()
-
-    def __enter__(self) -> Evaluation:
-        return self
-
-    def __exit__(self, *exc) -> None:
-        self.close()
+        return computed_once(add_windows(self.key, self.profile))
 
     @cached_property
     def graded_p(self) -> DataFrame:
