@@ -42,7 +42,7 @@ TABLES = ["p_matched", "p_compare", "s_matched", "s_compare", "details", "scorec
 
 
 @pytest.mark.parametrize("table", TABLES)
-@pytest.mark.parametrize("waves", [200_000, 0])
+@pytest.mark.parametrize("waves", [500_000, 0])
 def test_no_pairwise_joins(spark, logs, table, waves):
     text = plan(getattr(evaluation(spark, logs, broadcast_waves=waves), table)())
     assert "NestedLoop" not in text and "Cartesian" not in text
@@ -103,7 +103,7 @@ def test_by_id_merges_before_it_shuffles(spark, logs):
 
 
 def test_only_day_heads_come_together_in_one_partition(spark, logs):
-    for waves in (200_000, 0):
+    for waves in (500_000, 0):
         run = evaluation(spark, logs, broadcast_waves=waves)
         text = plan(add_windows(run.key, run.profile))
         assert "Exchange SinglePartition" in text

@@ -21,11 +21,11 @@ class Sizing:
     ``broadcast_waves``: waves up to which key-sized frames are broadcast. Per
     wave these are at most two cells (24 bytes), three wanted instants (40
     bytes) and one row of matched values (about 300 bytes), so the default
-    stays under about 100 MB, hash tables included.
+    stays under about 350 MB, hash tables included.
     ``salts``: ways in which one hot key is split beyond that size.
     """
 
-    broadcast_waves: int = 200_000
+    broadcast_waves: int = 500_000
     salts: int = 16
 
 
