@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tremorgrade.llm.store import stored
+
 #: Positions that each mask keeps, of a stretch of SPAN words.
 MASKS = (
     (0, 1, 2, 3, 4, 5),
@@ -100,7 +102,7 @@ def find_overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no part of a benchmark item."""
     found = find_overlaps(documents, benchmark).select("doc_id").distinct()
-    return documents.join(found, "doc_id", "left_anti").select(documents.columns)
+    return documents.join(stored(found, "leaks"), "doc_id", "left_anti").select(documents.columns)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

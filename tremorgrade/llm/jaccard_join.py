@@ -356,8 +356,8 @@ def jaccard_join(documents: DataFrame) -> DataFrame:
 
 def keep_first(documents: DataFrame) -> DataFrame:
     """One document of each component, the one of the least id; all without shingles."""
-    kept = jaccard_join(documents).where("doc_id = component_id").select("doc_id").distinct()
-    return documents.join(kept, "doc_id", "left_semi").select(documents.columns)
+    gone = jaccard_join(documents).where("doc_id <> component_id").select("doc_id").distinct()
+    return documents.join(stored(gone, "copies"), "doc_id", "left_anti").select(documents.columns)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

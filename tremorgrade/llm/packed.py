@@ -13,16 +13,21 @@ from tremorgrade.llm.batches import as_bytes, pieces
 _LEVEL = 3
 
 
-def packed(documents: DataFrame) -> DataFrame:
-    """(doc_id, packed): the UTF-8 bytes of each text; null is empty."""
+def packed(documents: DataFrame, *others: str) -> DataFrame:
+    """(doc_id, packed) and other columns as they are: the UTF-8 bytes of each text; null is empty."""
+    chosen = documents.select("doc_id", "text", *others)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema[2:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=_LEVEL).compress
         for batch in pieces(batches, "text"):
             column = pa.array([pack(t) for t in as_bytes(batch["text"])], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], column], names=["doc_id", "packed"])
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], column, *(batch[c] for c in others)],
+                names=["doc_id", "packed", *others],
+            )
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, packed binary")
+    return chosen.mapInArrow(run, "doc_id long, packed binary" + (f", {kinds}" if kinds else ""))
 
 
 def unpacked(column: pa.Array) -> list[bytes]:

@@ -298,6 +298,21 @@ def score(documents: DataFrame, models: dict[str, Model]) -> DataFrame:
     )
 
 
+def keep_good(documents: DataFrame, models: dict[str, Model]) -> DataFrame:
+    """The documents, all columns, that both targets let pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            numbers, distinct = text_features(batch["text"])
+            metadata = metadata_features(batch)
+            good, toxic = (
+                models[t].score(models[t].content(numbers, distinct), metadata)[0] for t in ("quality", "toxic")
+            )
+            yield batch.filter(pa.array((good >= 0.5) & (toxic < 0.5)))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return score(documents, train(documents, spark.read.parquet(f"{sf_dir}/labels.parquet")))

@@ -6,15 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tremorgrade.llm import chat, fingerprints, licenses, token_files, unigram, urls
+import corpus_pipeline
+from tremorgrade.llm import (
+    chat,
+    contamination,
+    fingerprints,
+    jaccard_join,
+    licenses,
+    quality,
+    suffix_dedup,
+    token_files,
+    unigram,
+    urls,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_chat_format": chat.op2_chat_format,
+    "op3_decontamination": contamination.op3_decontamination,
+    "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op5_fingerprint": fingerprints.op5_fingerprint,
     "op6_license_scan": licenses.op6_license_scan,
     "op7_url_filter": urls.op7_url_filter,
+    "op8_quality": quality.op8_quality,
     "op9_sentencepiece": unigram.op9_sentencepiece,
     "op10_token_files": token_files.op10_token_files,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL = {"op2_chat_format": chat.OP2_SQL}

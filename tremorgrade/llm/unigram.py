@@ -291,7 +291,7 @@ def _unigram(file: str) -> Unigram:
 
 def encode(documents: DataFrame, file: str) -> DataFrame:
     """The documents with their ids as column ``token_ids``."""
-    schema = documents.schema.simpleString()[len("struct<") : -1]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _unigram(file)
@@ -303,7 +303,7 @@ def encode(documents: DataFrame, file: str) -> DataFrame:
                 [*batch.columns, column], names=[*batch.schema.names, "token_ids"]
             )
 
-    return documents.mapInArrow(run, f"{schema},token_ids:array<int>")
+    return documents.mapInArrow(run, f"{schema}, token_ids array<int>")
 
 
 def decode(encoded: DataFrame, file: str) -> DataFrame:
@@ -327,8 +327,8 @@ def _decoded(decoder: Decoder, batch: pa.RecordBatch) -> list[bytes]:
     return decoder.decode(ids, offsets - offsets[0])
 
 
-def digests(encoded: DataFrame, file: str) -> DataFrame:
-    """Of each encoded document: number of ids, of byte pieces, CRC-32 of the ids (little-endian
+def digests(encoded: DataFrame, file: str, *others: str) -> DataFrame:
+    """Of each encoded document, besides other columns as they are: number of ids, of byte pieces, CRC-32 of the ids (little-endian
     32-bit), CRC-32 of the decoded bytes, and whether they are the text's."""
     import sentencepiece  # noqa: F401  the workers need it; say so early
 
@@ -356,14 +356,18 @@ def digests(encoded: DataFrame, file: str) -> DataFrame:
                     ),
                     pa.array([zlib.crc32(t) for t in decoded], pa.int64()),
                     pa.array([a == b for a, b in zip(decoded, texts, strict=True)]),
+                    *(batch[c] for c in others),
                 ],
-                names=["doc_id", "n_tokens", "n_byte_pieces", "ids_crc32", "decoded_crc32", "round_trip"],
+                names=[*columns, *others],
             )
 
-    return encoded.select("doc_id", "text", "token_ids").mapInArrow(
-        run,
-        "doc_id long, n_tokens long, n_byte_pieces long, ids_crc32 long, decoded_crc32 long, round_trip boolean",
-    )
+    columns = {
+        "doc_id": "long", "n_tokens": "long", "n_byte_pieces": "long",
+        "ids_crc32": "long", "decoded_crc32": "long", "round_trip": "boolean",
+    }
+    kinds = columns | {f.name: f.dataType.simpleString() for f in encoded.select(*others).schema}
+    chosen = encoded.select("doc_id", "text", *[c for c in dict.fromkeys(["token_ids", *others])])
+    return chosen.mapInArrow(run, ", ".join(f"`{c}` {kind}" for c, kind in kinds.items()))
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
