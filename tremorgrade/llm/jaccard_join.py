@@ -142,9 +142,10 @@ def _profiles(documents: DataFrame) -> DataFrame:
 
 
 def _levels(profiles: DataFrame, total: int) -> np.ndarray:
-    """How frequent the shingles of each sketch cell are: 0 for usual cells, then by powers of
-    two. Four million bytes, whatever the input."""
-    usual = 4 * total // (1 << _SKETCH_BITS) + 16
+    """How frequent the shingles of each sketch cell are: 0 for usual cells, then by half
+    powers of two. Four million bytes, whatever the input."""
+    mean = total / (1 << _SKETCH_BITS)
+    usual = int(mean + 3 * mean**0.5 + 8)  # what shingles that occur once fill a cell with
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -154,7 +155,7 @@ def _levels(profiles: DataFrame, total: int) -> np.ndarray:
                 held += np.frombuffer(zlib.decompress(counts), np.int32)
         rows = []
         for chunk, held in sums.items():
-            level = np.ceil(np.log2(np.maximum(held, usual) / usual)).astype(np.uint8)
+            level = np.ceil(2 * np.log2(np.maximum(held, usual) / usual)).astype(np.uint8)
             rows.append({"chunk": chunk, "level": zlib.compress(level.tobytes(), 1)})
         schema = pa.schema([("chunk", pa.int32()), ("level", pa.binary())])
         yield pa.RecordBatch.from_pylist(rows, schema)
