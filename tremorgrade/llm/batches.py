@@ -10,11 +10,11 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_PIECE_BYTES = 6 << 20
+_PIECE_BYTES = 3 << 20
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with some 6 MB of this text column each, or one longer row."""
+    """Slices of the batches with some 3 MB of this text column each, or one longer row."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes, dtype=np.int64)

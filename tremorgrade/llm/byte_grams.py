@@ -14,7 +14,7 @@ import numpy as np
 GAP = 400
 """Positions between two texts of a buffer, more than any string looked up reaches out."""
 
-_BUFFER = 1 << 18
+_BUFFER = 1 << 17
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 

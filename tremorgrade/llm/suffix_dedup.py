@@ -120,7 +120,7 @@ def _with_texts(chosen: DataFrame, texts: DataFrame, whole: bool) -> DataFrame:
 def _local(text: bytes, first: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, int, Grams]]:
     """Parts of a text by blocks of bounded size: (rows, offset of the block, its identifiers)."""
     order = np.argsort(first, kind="stable")
-    block = 1 << 18
+    block = 1 << 17
     done = 0
     while done < len(order):
         begin = max(0, int(first[order[done]]) - LENGTH)
