@@ -286,7 +286,7 @@ def score(documents: DataFrame, models: dict[str, Model]) -> DataFrame:
             good, toxic = models["quality"], models["toxic"]
             quality, views = good.score(good.content(numbers, distinct), metadata)
             poison, _ = toxic.score(toxic.content(numbers, distinct), metadata)
-            columns = [quality, *views, poison, (quality >= 0.5) & (poison < 0.5)]
+            columns = [quality, *views, poison, (quality >= 0.5) & (poison <= 0.5)]
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], *map(pa.array, columns)],
                 names=["doc_id", "quality", "quality_by_text", "quality_by_metadata", "toxic", "keep"],
@@ -308,7 +308,7 @@ def keep_good(documents: DataFrame, models: dict[str, Model]) -> DataFrame:
             good, toxic = (
                 models[t].score(models[t].content(numbers, distinct), metadata)[0] for t in ("quality", "toxic")
             )
-            yield batch.filter(pa.array((good >= 0.5) & (toxic < 0.5)))
+            yield batch.filter(pa.array((good >= 0.5) & (toxic <= 0.5)))
 
     return documents.mapInArrow(run, documents.schema)
 
