@@ -193,3 +193,20 @@ def test_random_cases_equal_nested_loops(spark, sizing, seed):
         assert (row.wave_peak is None) == (not inside)
         if inside:
             assert float(row.wave_peak) == max(inside)
+
+
+def test_repeated_ids_and_odd_names_give_the_same_windows_under_both_plans(spark, sizing):
+    rows = [(5, "10:00:00"), (5, "10:00:00"), (6, "10:05:00"), (4, "10:00:00")]
+    key = make_key(spark, [{"id": i, "send_time": at(t)} for i, t in rows])
+    key = key.withColumn("note (km)", key.id)
+    none = make_p(spark, []), make_s(spark, [])
+    found = Evaluation(key, *none, sizing).windows
+    ends = sorted((r.id, r.next_send_time) for r in found.select("id", "next_send_time").collect())
+    assert ends == [(4, at("10:00:00")), (5, at("10:05:00")), (5, at("10:05:00")), (6, at("10:06:00"))]
+
+
+def test_far_alarm_is_averaged(spark, sizing):
+    key = make_key(spark, [{"id": 1, "send_time": at("10:00:00")}])
+    p = make_p(spark, [{"station_p_wave_alarm_id": "a", "jk_time": at("10:00:01"), "rcv_jktime": datetime(9999, 12, 31)}])
+    row = Evaluation(key, p, make_s(spark, []), sizing).kpi("kpi_p_send").first()
+    assert any("2516" in str(v) for v in row.asDict().values())

@@ -1,3 +1,4 @@
+import pytest
 from conftest import P_ALARMS, S_ALARMS, WAVES, at, make_key, make_p, make_s
 from tremorgrade import Evaluation, session
 from tremorgrade.labels import DETAIL_COLUMNS_ZH, details_zh
@@ -41,7 +42,7 @@ def test_write_scorecard(spark, tmp_path):
     assert {r.kpi for r in card.collect()} == {k.name for k in KPIS}
 
 
-def test_a_failing_kpi_is_left_out_and_the_rest_go_on(spark, tmp_path, monkeypatch):
+def test_a_failing_kpi_holds_no_other_up_and_is_named(spark, tmp_path, monkeypatch):
     real = writers._write
 
     def fails_once(rows, path, fmt):
@@ -50,8 +51,9 @@ def test_a_failing_kpi_is_left_out_and_the_rest_go_on(spark, tmp_path, monkeypat
         real(rows, path, fmt)
 
     monkeypatch.setattr(writers, "_write", fails_once)
-    names = writers.write_scorecard(evaluation(spark), str(tmp_path))
-    assert "kpi_p_judge" not in names and len(names) == len(KPIS)
+    with pytest.raises(writers.NotAllWritten, match="kpi_p_judge") as error:
+        writers.write_scorecard(evaluation(spark), str(tmp_path))
+    assert list(error.value.failed) == ["kpi_p_judge"] and len(error.value.written) == len(KPIS)
 
 
 def test_write_details_as_text(spark, tmp_path):

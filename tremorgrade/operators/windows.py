@@ -16,32 +16,9 @@ from tremorgrade.operators.sizing import KeyProfile, attach
 def add_windows(key: DataFrame, profile: KeyProfile) -> DataFrame:
     """Add ``next_send_time``; waves sent at one instant follow each other by id.
 
-    A lead over the whole timetable would sort every row in one task, so the
-    lead is taken inside buckets of time and the bucket heads carry it across.
-    """
-    if profile.small:
-        return _lead_by_day(key)
-    return _lead_by_instant(key, profile)
-
-
-def _lead_by_day(key: DataFrame) -> DataFrame:
-    """Lead within each day, then from the last wave of a day to the next day."""
-    dated = key.withColumn("_day", F.to_date("send_time"))
-    in_day = Window.partitionBy("_day").orderBy(
-        F.col("send_time").asc_nulls_last(), F.col("id").asc_nulls_last()
-    )
-    days = _next_heads(dated.groupBy("_day").agg(F.min("send_time").alias("_head")))
-    return (
-        dated.withColumn("_in_day", F.lead("send_time").over(in_day))
-        .join(days.select("_day", "_next_head"), "_day", "left")
-        .withColumn("next_send_time", F.coalesce("_in_day", "_next_head", "end_time"))
-        .select(*key.columns, "next_send_time")
-    )
-
-
-def _lead_by_instant(key: DataFrame, profile: KeyProfile) -> DataFrame:
-    """The same lead when a single day may hold more waves than one task should.
-
+    Waves that also share the greatest id of their instant end alike, at the next
+    one. A lead over the whole timetable would sort every row in one task, so it
+    is taken over distinct instants, in buckets of time whose heads carry it across.
     Ties are collapsed first, so a bucket of one second holds at most a million
     instants and a day at most 86,400 seconds, however the waves are spread.
     """
@@ -68,13 +45,10 @@ def _lead_by_instant(key: DataFrame, profile: KeyProfile) -> DataFrame:
         .select("send_time", "_last_id", F.coalesce("_in_second", "_next_second").alias("_following"))
     )
     # All but the last of the waves sent at one instant end where they start.
-    return (
-        attach(key, following, ["send_time"], "id", profile)
-        .selectExpr(
-            *key.columns,
-            "CASE WHEN id < _last_id THEN send_time ELSE coalesce(_following, end_time) END"
-            " AS next_send_time",
-        )
+    ends = F.when(F.col("id") < F.col("_last_id"), F.col("send_time"))
+    return attach(key, following, ["send_time"], "id", profile).select(
+        *[F.col(f"`{name}`") for name in key.columns],
+        F.coalesce(ends, "_following", "end_time").alias("next_send_time"),
     )
 
 

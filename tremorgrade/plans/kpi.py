@@ -231,9 +231,11 @@ def _extreme(extra: Extra, rows: str) -> str:
     if extra.kind == "count_if":
         return f"count_if({rows} AND {extra.of})"
     if extra.kind == "avg":
-        # Twelve places keep the mean exact enough that only the last step rounds.
-        mean = f"avg(CAST({extra.of} AS DECIMAL(22,12))) FILTER (WHERE {rows})"
-        return f"round({mean}, 3)"
+        # Measures have three places: the sum is exact and only the division rounds, half up.
+        total = f"sum(CAST({extra.of} AS DECIMAL(28,3))) FILTER (WHERE {rows})"
+        count = f"count({extra.of}) FILTER (WHERE {rows})"
+        mean = f"(2000 * abs({total}) + {count}) DIV (2 * nullif({count}, 0))"
+        return f"CAST(sign({total}) * CAST({mean} AS DECIMAL(20,0)) AS DECIMAL(20,0)) * 0.001BD"
     function = "min" if extra.kind == "min" else "max"
     return f"{function}({extra.of}) FILTER (WHERE {rows})"
 

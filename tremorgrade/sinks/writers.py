@@ -30,7 +30,8 @@ def times_as_text(rows: DataFrame) -> DataFrame:
 def write_scorecard(evaluation: Evaluation, path: str, fmt: str = "parquet") -> list[str]:
     """One directory per KPI and one long ``scorecard``; returns the names written.
 
-    The totals are computed once. A KPI that fails is logged and left out.
+    The totals are computed once. A KPI that fails holds no other up; all that failed
+    are named in the error raised at the end.
     """
     totals = evaluation.totals().persist()
     try:
@@ -81,14 +82,26 @@ def write_timed(evaluation: Evaluation, start, end, path: str, fmt: str = "parqu
     return _write_all(tables, path, fmt)
 
 
+class NotAllWritten(RuntimeError):
+    """Raised after everything else was written; ``failed`` and ``written`` have the names."""
+
+    def __init__(self, failed: dict[str, Exception], written: list[str]) -> None:
+        super().__init__(f"not written: {', '.join(failed)}; written: {', '.join(written) or 'none'}")
+        self.failed, self.written = failed, written
+
+
 def _write_all(tables: dict[str, DataFrame], path: str, fmt: str) -> list[str]:
-    written = []
+    written: list[str] = []
+    failed: dict[str, Exception] = {}
     for name, rows in tables.items():
         try:
             _write(rows, f"{path}/{name}", fmt)
             written.append(name)
-        except Exception:
+        except Exception as error:
             log.exception("could not write %s", name)
+            failed[name] = error
+    if failed:
+        raise NotAllWritten(failed, written) from next(iter(failed.values()))
     return written
 
 
