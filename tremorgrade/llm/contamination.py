@@ -30,6 +30,8 @@ BROADCAST_WORDS = 200_000
 
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _REACH = WINDOW - SPAN
+_NEAR = SPAN + 2 * _REACH
+_CHUNK = 1024
 
 
 def _words(text: Column) -> Column:
@@ -38,39 +40,53 @@ def _words(text: Column) -> Column:
 
 
 def _seeds(texts: DataFrame, key: str) -> DataFrame:
-    """(key, words, at, seed): every stretch under every mask; a text shorter than SPAN is one."""
-    words = texts.select(F.col(key), _words(F.col("text")).alias("words")).where(F.size("words") > 0)
-    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - SPAN, F.lit(0)))
-    places = words.select(key, "words", F.explode(starts).alias("at"))
+    """(key, size, at, near, seed): every stretch under every mask, with the words around it.
+
+    ``near`` is the widest stretch that could hold a hit, null beyond the text's ends. A
+    text shorter than SPAN is one stretch. Texts are taken in chunks of words, so that what
+    is held for a long one at a time is bounded.
+    """
+    nothing = F.lit(None).cast("bigint")
+    padded = F.concat(
+        F.array_repeat(nothing, _REACH), F.col("words"), F.array_repeat(nothing, SPAN + _REACH)
+    )
+    last = F.greatest(F.size("words") - SPAN, F.lit(0))
+    chunks = F.transform(
+        F.sequence(F.lit(0), F.col("last"), F.lit(_CHUNK)),
+        lambda c: F.struct(
+            c.alias("base"), F.slice(F.col("padded"), c + 1, _CHUNK + _NEAR - 1).alias("words")
+        ),
+    )
+    places = F.transform(
+        F.sequence(F.lit(0), F.least(F.col("last") - F.col("chunk.base"), F.lit(_CHUNK - 1))),
+        lambda i: F.struct(
+            (F.col("chunk.base") + i).alias("at"),
+            F.slice(F.col("chunk.words"), i + 1, _NEAR).alias("near"),
+        ),
+    )
     hashes = [
-        F.xxhash64(F.lit(number), *[F.get("words", F.col("at") + k) for k in mask])
+        F.xxhash64(F.lit(number), *[F.get("place.near", F.lit(_REACH + k)) for k in mask])
         for number, mask in enumerate(MASKS)
     ]
-    return places.select(key, "words", "at", F.explode(F.array(*hashes)).alias("seed"))
-
-
-def _around(words: str, at: str) -> Column:
-    """The words of the widest stretch that could hold the hit; null beyond the text's ends."""
-    return F.array(*[F.get(words, F.col(at) + k) for k in range(-_REACH, SPAN + _REACH)])
+    return (
+        texts.select(F.col(key), _words(F.col("text")).alias("words"))
+        .where(F.size("words") > 0)
+        .select(key, F.size("words").alias("size"), last.alias("last"), padded.alias("padded"))
+        .select(key, "size", "last", F.explode(chunks).alias("chunk"))
+        .select(key, "size", F.explode(places).alias("place"))
+        .select(key, "size", "place.at", "place.near", F.explode(F.array(*hashes)).alias("seed"))
+    )
 
 
 def find_overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, at, matched, share): for each pair the best stretch, its number of equal
     words, their share, and the first place in the document."""
-    items = (
-        _seeds(benchmark, "item_id")
-        .groupBy("item_id", "seed", "at")
-        .agg(F.first("words").alias("item_words"))
-        .select("item_id", "seed", F.size("item_words").alias("item_size"), _around("item_words", "at").alias("item_near"))
-        .distinct()
+    items = _seeds(benchmark.where("item_id IS NOT NULL"), "item_id").select(
+        "item_id", "seed", F.col("size").alias("item_size"), F.col("near").alias("item_near")
     )
-    seeds = _seeds(documents.where("doc_id IS NOT NULL"), "doc_id")
+    seeds = _seeds(documents.where("doc_id IS NOT NULL"), "doc_id").drop("size")
     n_words = benchmark.select(F.sum(F.size(_words(F.col("text"))))).first()[0] or 0
-    if n_words <= BROADCAST_WORDS:
-        hits = seeds.join(F.broadcast(items), "seed")
-        hits = hits.select("doc_id", "at", "item_id", "item_size", "item_near", _around("words", "at").alias("near"))
-    else:
-        hits = seeds.select("doc_id", "at", "seed", _around("words", "at").alias("near")).join(items, "seed")
+    hits = seeds.join(F.broadcast(items) if n_words <= BROADCAST_WORDS else items, "seed")
     equal = F.zip_with(
         "near", "item_near", lambda a, b: F.when(a == b, 1).otherwise(0)
     )
