@@ -12,8 +12,10 @@ KEPT_WORDS = 500_000
 class Memory:
     """Numbers words; the ids of word i are flat[starts[i] : starts[i] + lengths[i]]."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> None:
-        self.encode = encode
+    def __init__(
+        self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], kept: int = KEPT_WORDS
+    ) -> None:
+        self.encode, self.kept = encode, kept
         self._forget()
 
     def _forget(self) -> None:
@@ -23,7 +25,7 @@ class Memory:
 
     def numbers(self, *lists: list[str]) -> list[np.ndarray]:
         """The numbers of all words of these lists, valid until the next call."""
-        if len(self.known) > KEPT_WORDS:
+        if len(self.known) > self.kept:
             self._forget()
         known = self.known
         new = [w for w in dict.fromkeys(w for words in lists for w in words) if w not in known]

@@ -32,6 +32,7 @@ MARKER = "▁"
 _UNKNOWN_COST = 10.0
 _CHUNK_BYTES = 200_000
 _BLOCK = 512
+_KEPT = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -148,7 +149,7 @@ class Unigram:
         self.vocabulary = vocabulary
         keys = {p: i for i, p in enumerate(vocabulary.pieces) if vocabulary.normal[i]}
         self.trie = DoubleArray(keys)
-        self.memory = Memory(self.split_all)
+        self.memory = Memory(self.split_all, _KEPT)
         self.unknown = float(vocabulary.scores[vocabulary.normal].min()) - _UNKNOWN_COST
 
     def split_all(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
