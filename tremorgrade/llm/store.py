@@ -12,10 +12,11 @@ _SETTING = "spark.checkpoint.dir"
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names; where none is named, as in tests, one of our own."""
-    named = spark.conf.get(_SETTING, None)
-    if named is None:
-        named = tempfile.mkdtemp(prefix="tremorgrade-")
-        spark.conf.set(_SETTING, named)
+    context = spark.sparkContext
+    named = spark.conf.get(_SETTING, None) or context.getCheckpointDir()
+    if named is None:  # the setting itself cannot change in a running session
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tremorgrade-"))
+        named = context.getCheckpointDir()
     return named
 
 
