@@ -18,6 +18,9 @@ components are compared, if place in the order, sizes and a 512-bit parity signa
 leave a link possible. These tests drop no link. Survivors are compared exactly, whole
 text against whole text.
 
+In lists a set goes by its own hash, so rows that copy a set need no join to be seen as
+one; where two sets had one hash, both would be compared.
+
 The boundary is where enumerating and scanning together cost least, by the counts of
 sizes. Equal sets are one set with many documents throughout.
 
@@ -87,6 +90,10 @@ def _mixed(x: np.ndarray, factor: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _identity(shingles: np.ndarray, factor: int = 0xBF58476D1CE4E5B9) -> int:
+    return int(_mixed(shingles, factor).sum().view(np.int64))
+
+
 def _signature(shingles: np.ndarray) -> np.ndarray:
     places = (shingles % np.uint64(_SIGNATURE)).astype(np.int64)
     odd = (np.bincount(places, minlength=_SIGNATURE) & 1).astype(np.uint8)
@@ -112,8 +119,8 @@ def _profiles(documents: DataFrame) -> DataFrame:
                 every = np.concatenate(sets) >> np.uint64(64 - _SKETCH_BITS)
                 counts += np.bincount(every.astype(np.int64), minlength=len(counts)).astype(np.int32)
             n = pa.array([len(s) for s in sets], pa.int64())
-            h1 = pa.array([int(_mixed(s, 0xBF58476D1CE4E5B9).sum().view(np.int64)) for s in sets], pa.int64())
-            h2 = pa.array([int(_mixed(s, 0x94D049BB133111EB).sum().view(np.int64)) for s in sets], pa.int64())
+            h1 = pa.array([_identity(s) for s in sets], pa.int64())
+            h2 = pa.array([_identity(s, 0x94D049BB133111EB) for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["doc_id"],
@@ -174,30 +181,32 @@ def _levels(profiles: DataFrame, total: int) -> np.ndarray:
 
 
 def _postings(documents: DataFrame, levels: np.ndarray, light: int) -> DataFrame:
-    """(shingle, doc_id, place) of the first shingles of every heavy set; place has the place in
-    the order in its upper half and the set's size in the lower."""
+    """(shingle, doc_id, node, place) of the first shingles of every heavy set; node is the set's
+    hash, place has the place in the order in its upper half and the set's size in the lower."""
     shared = documents.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level_of = shared.value
         for batch in pieces(batches, "text"):
-            shingles, places, sizes = [], [], []
-            for own in _sets(words(batch["text"])):
+            shingles, ids, nodes, places = [], [], [], []
+            for doc_id, own in zip(batch["doc_id"].to_pylist(), _sets(words(batch["text"])), strict=True):
                 n = len(own)
                 size = prefix_size(n) if n > light else 0
                 if size:
                     level = level_of[(own >> np.uint64(64 - _SKETCH_BITS)).astype(np.int64)]
-                    own = own[np.argsort(level, kind="stable")[:size]]
-                    shingles.append(own)
+                    ids.append(np.full(size, doc_id, np.int64))
+                    nodes.append(np.full(size, _identity(own), np.int64))
+                    shingles.append(own[np.argsort(level, kind="stable")[:size]])
                     places.append((np.arange(size) << 32) | n)
-                sizes.append(size)
             if shingles:
-                ids = batch["doc_id"].take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
-                columns = [pa.array(np.concatenate(shingles).view(np.int64)), ids, pa.array(np.concatenate(places))]
-                yield pa.RecordBatch.from_arrays(columns, names=["shingle", "doc_id", "place"])
+                columns = [np.concatenate(c) for c in (shingles, ids, nodes, places)]
+                columns[0] = columns[0].view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c) for c in columns], names=["shingle", "doc_id", "node", "place"]
+                )
 
     rows = documents.select("doc_id", "text").where("doc_id IS NOT NULL")
-    return rows.mapInArrow(run, "shingle long, doc_id long, place long")
+    return rows.mapInArrow(run, "shingle long, doc_id long, node long, place long")
 
 
 def _light_links(sets: DataFrame, light: int) -> DataFrame:
@@ -244,20 +253,27 @@ def _may_link(n: str, m: str) -> Column:
 
 
 def _possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (a, b) that may link, by what is known of each set."""
-    left = sets.select(F.col("rep").alias("a"), "n", "signature")
+    """(a, b): first documents of the pairs (node, other) of sets that may link, by what is known
+    of each set."""
+    left = sets.select("node", F.col("rep").alias("a"), "n", "signature")
     right = sets.select(
-        F.col("rep").alias("b"), F.col("n").alias("m"), F.col("signature").alias("other_signature")
+        F.col("node").alias("other"),
+        F.col("rep").alias("b"),
+        F.col("n").alias("m"),
+        F.col("signature").alias("other_signature"),
     )
-    return pairs.join(left, "a").join(right, "b").where(_may_link("n", "m")).select("a", "b")
+    return pairs.join(left, "node").join(right, "other").where(_may_link("n", "m")).select("a", "b")
 
 
 def _verified(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     """The (a, b) whose sets, made again from their whole texts, link."""
     pairs = stored(pairs, "pairs")
     needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = packed(documents).join(needed, "doc_id").dropDuplicates(["doc_id"])
-    texts = stored(texts, "texts")
+    found = stored(packed(documents).join(needed, "doc_id"), "texts")
+    # Ids are seldom repeated, so only the texts of those that are move to be told apart.
+    again = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    repeats = found.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = found.join(again, "doc_id", "left_anti").union(repeats)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -301,7 +317,7 @@ def jaccard_join(documents: DataFrame) -> DataFrame:
     member = stored(
         every.where("doc_id IS NOT NULL")
         .join(classes, ["n", "h1", "h2"], "left")
-        .select("doc_id", "n", "rep", "signature", "small"),
+        .select("doc_id", "n", "rep", F.col("h1").alias("node"), "signature", "small"),
         "members",
     )
     sets = member.where("doc_id = rep").dropDuplicates(["rep"])
@@ -310,46 +326,48 @@ def jaccard_join(documents: DataFrame) -> DataFrame:
     light = boundary(dict((n, k) for n, k in sizes))
 
     postings = _postings(documents, _levels(profiles, total), light)
-    lists = (
+    hubs = (
         postings.groupBy("shingle")
         .agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last"))
         .where("hub < last")
         .select("shingle", "hub")
     )
-    rep_of = member.select("doc_id", "rep")
-    found = stored(postings.join(lists, "shingle"), "lists")
-    shared = stored(
-        found.join(rep_of, "doc_id")
-        .join(rep_of.select(F.col("doc_id").alias("hub"), F.col("rep").alias("hub_rep")), "hub")
-        .groupBy("shingle", "rep", "place")
-        .agg(F.first("hub_rep").alias("hub")),
-        "shared",
+    lists = stored(postings.drop("doc_id").join(hubs, "shingle"), "lists")
+    hub_node = member.select(F.col("doc_id").alias("hub"), F.col("node").alias("other")).distinct()
+    to_hub = lists.select("node", "hub").distinct().join(hub_node, "hub").where("node <> other")
+    to_hub = stored(to_hub, "to_hub")
+    first = stored(_verified(_possible(to_hub, sets).distinct(), documents).union(_light_links(sets, light)), "linked")
+
+    # A list is done if all its members are in the component of its hub.
+    known = components(first).withColumnRenamed("node", "rep")
+    component_of = stored(
+        sets.join(known, "rep", "left").select("node", F.coalesce("component", "rep").alias("p")), "known"
     )
-    hub_pairs = shared.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    first = stored(_verified(_possible(hub_pairs, sets), documents).union(_light_links(sets, light)), "linked")
-    known = components(first)
-
-    named = shared.join(known.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "shingle", "rep", "place", F.coalesce("component", "rep").alias("component")
+    apart = (
+        to_hub.join(component_of, "node")
+        .join(component_of.select(F.col("node").alias("other"), F.col("p").alias("q")), "other")
+        .where("p <> q")
+        .select("node", "hub")
+        .distinct()
     )
-    mixed = named.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-    open_lists = stored(named.join(mixed.where("x < y").select("shingle"), "shingle"), "open")
+    undone = lists.join(apart, ["node", "hub"], "left_semi").select("shingle").distinct()
+    # Stored between, so that copies are merged by all three columns and none is a hot key.
+    undone = stored(lists.join(undone, "shingle").select("shingle", "node", "place"), "undone")
     n, at = F.col("place").bitwiseAND(0xFFFFFFFF), F.shiftright("place", 32)
-    left = open_lists.select(
-        "shingle", F.col("rep").alias("a"), F.col("component").alias("p"), n.alias("n"), (n - at).alias("rest")
-    )
-    right = left.select("shingle", *[F.col(c).alias(d) for c, d in zip(left.columns[1:], "bqms", strict=True)])
-    least = (4 * (F.col("n") + F.col("m")) + 8) / 9  # whole part is t
-    close = (F.col("p") != F.col("q")) & (F.col("a") < F.col("b"))
-    close &= (F.col("n") * 5 >= F.col("m") * 4) & (F.col("m") * 5 >= F.col("n") * 4)
-    close &= (F.col("rest") >= F.floor(least)) & (F.col("s") >= F.floor(least))
-    across = left.join(right, "shingle").where(close).select("a", "b").distinct()
+    undone = undone.distinct().join(component_of, "node")
+    undone = stored(undone.select("shingle", "node", "p", n.alias("n"), (n - at).alias("rest")), "open")
+    close = """x.shingle = y.shingle AND x.p <> y.p AND x.node < y.node
+        AND x.n * 5 >= y.n * 4 AND y.n * 5 >= x.n * 4
+        AND least(x.rest, y.rest) >= (4 * (x.n + y.n) + 8) DIV 9"""
+    across = undone.alias("x").join(undone.alias("y"), F.expr(close))
+    across = across.selectExpr("x.node AS node", "y.node AS other").distinct()
     second = _verified(_possible(across, sets), documents)
     whole = components(first.union(second))
+    rep_of = member.select("doc_id", "rep").distinct()
     return (
         profiles.where("chunk IS NULL")
         .select("doc_id", "n")
-        .join(rep_of.distinct(), "doc_id", "left")
+        .join(rep_of, "doc_id", "left")
         .join(whole.withColumnRenamed("node", "rep"), "rep", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
     )
