@@ -57,12 +57,14 @@ _ALARM = """CAST(event_id AS VARCHAR) AS alarm_id,
   CASE WHEN event_id % 53 <> 0 THEN 'E' || (event_id // 20) END AS earth_id,
   'ST' || user_id AS sta_code, 'D' || user_id AS device_code"""
 
-_ALARMS = f"""pa AS (SELECT {_ALARM},
+_EVERY_P = f"""SELECT {_ALARM},
   {_steps(100, "event_id % 691", 0.0101)} AS source_longitude,
   {_steps(20, "event_id % 997", 0.0101)} AS source_latitude,
   CAST(event_id % 310 AS DOUBLE) AS epi_dist, CAST(event_id % 350 AS DOUBLE) AS azi_angle,
   {_steps(3, "event_id % 45", 0.11)} AS earthquake_level
-  FROM ev WHERE event_type IN ('click', 'view')),
+  FROM ev"""
+
+_ALARMS = f"""pa AS ({_EVERY_P} WHERE event_type IN ('click', 'view')),
 sa AS (SELECT {_ALARM}, value AS x_acc_value
   FROM ev WHERE event_type IN ('purchase', 'signup'))"""
 
@@ -409,7 +411,7 @@ _REQUIRED = list(_TEXT_COLUMNS)[:9]
 
 _RAW = f"""ev AS (SELECT *, date_trunc('minute', ts) AS t FROM events),
 raw AS (SELECT event_id AS id, {", ".join(f"{sql} AS {n}" for n, sql in _TEXT_COLUMNS.items())}
-  FROM ev WHERE event_type = 'error'),
+  FROM ev),
 quiet AS (SELECT * REPLACE ({", ".join(
     f"CASE WHEN earthquake_type = '干扰波' THEN NULL ELSE {c} END AS {c}" for c in _TRUTH)}) FROM raw)"""
 
@@ -486,6 +488,7 @@ def _loaded_columns():
 def statements() -> dict[str, str]:
     keyed = f"WITH {_KEY}"
     alarms = f"WITH {_KEY}, {_ALARMS}"
+    every = f"WITH {_KEY}, pa AS ({_EVERY_P})"
     p, s = f"{alarms}, {_P}", f"{alarms}, {_S}"
     both = f"{alarms}, {_P}, {_S}"
     by_id = f"{alarms}, {_BY_ID}"
@@ -494,11 +497,10 @@ def statements() -> dict[str, str]:
     found = {
         "answer_key_windows": f"{keyed} SELECT id, send_time, end_time, next_send_time FROM win",
         "answer_key": f"{keyed} SELECT * FROM win",
-        "seconds_between": f"{alarms} SELECT alarm_id, "
+        "seconds_between": f"{every} SELECT alarm_id, "
         f"{_dbl(_secs('rcv_jktime', 'jk_time'))} AS delay, {_dbl(_secs('jk_time', 'rcv_jktime'))} AS lead"
-        " FROM (SELECT alarm_id, jk_time, rcv_jktime FROM pa UNION ALL"
-        " SELECT alarm_id, jk_time, rcv_jktime FROM sa)",
-        "haversine_km": f"{alarms} SELECT alarm_id, {_dbl(_r(shifted, 3))} AS km FROM"
+        " FROM pa",
+        "haversine_km": f"{every} SELECT alarm_id, {_dbl(_r(shifted, 3))} AS km FROM"
         " (SELECT *, source_latitude - azi_angle * CAST(0.01 AS DOUBLE) AS lat,"
         " source_longitude + epi_dist * CAST(0.01 AS DOUBLE) AS lon FROM pa) l",
         "p_matched": f"{p} SELECT {_doubles(_P_DECIMALS)} FROM pm",

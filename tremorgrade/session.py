@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import tempfile
 import uuid
 
@@ -17,26 +16,18 @@ def computed_once(rows: DataFrame) -> DataFrame:
     They go as Parquet into the checkpoint folder the cluster names, so they
     outlive any executor, and later plans read the few columns they need instead
     of repeating the work. Clearing that folder is the cluster's business.
-    Without a folder rows are cached, and recomputed if an executor is lost.
     """
     spark = rows.sparkSession
-    folder = _shared_folder(spark)
-    if folder is None:
-        return rows.persist()
-    path = f"{folder}/tremorgrade-{uuid.uuid4().hex}"
+    path = f"{_shared_folder(spark).rstrip('/')}/tremorgrade-{uuid.uuid4().hex}"
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
-def _shared_folder(spark: SparkSession) -> str | None:
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names; only where none is, as in tests, one of our own."""
     context = spark.sparkContext
     named = spark.conf.get(_FOLDER_SETTING, None) or context.getCheckpointDir()
-    if named is None and context.master.startswith("local"):
-        return _local_folder()
+    if named is None:  # the setting itself cannot change in a running session
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tremorgrade-"))
+        named = context.getCheckpointDir()
     return named
-
-
-@functools.cache
-def _local_folder() -> str:
-    """For a local session, as in tests, where any folder is shared."""
-    return tempfile.mkdtemp(prefix="tremorgrade-")

@@ -2,7 +2,8 @@
 
 Events play the parts: errors are the waves sent, clicks and views the P alarms,
 purchases and signups the S alarms. Times are cut to the minute, which makes
-ties, shared window ends and empty windows.
+ties, shared window ends and empty windows. Cleaning and the row expressions
+play no part: they take every event.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from tremorgrade.schema import ANSWER_KEY_FIELDS, ANSWER_KEY_SCHEMA, P_ALARM_ID,
 from tremorgrade.sources import cleaning
 
 INTERFERENCE = "interference"
+P_KINDS = "event_type IN ('click', 'view')"
+EVERY_KIND = "true"
 
 
 def _steps(start: int, count: str, step: str) -> str:
@@ -154,8 +157,8 @@ def answer_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr(*[f"{columns[name]} AS {name}" for name in ANSWER_KEY_SCHEMA.names])
 
 
-def p_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = events(spark, sf_dir).where("event_type IN ('click', 'view')")
+def p_alarms(spark: SparkSession, sf_dir: str, kinds: str = P_KINDS) -> DataFrame:
+    rows = events(spark, sf_dir).where(kinds)
     return rows.selectExpr(*[f"{sql} AS {name}" for name, sql in _P_ALARM.items()])
 
 
@@ -165,8 +168,7 @@ def s_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The damaged answer key: event number and the 28 columns as text."""
-    rows = events(spark, sf_dir).where("event_type = 'error'")
-    return rows.selectExpr(
+    """The damaged answer key, a row for every event: its number and the 28 columns as text."""
+    return events(spark, sf_dir).selectExpr(
         "event_id AS id", *[f"{_TEXT_KEY[f.name]} AS {f.name}" for f in ANSWER_KEY_FIELDS]
     )
