@@ -59,8 +59,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's token ids, with the proof that they decode to its text."""
     file = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = unigram.encode(docs.select("doc_id", "text", "lang", "source", "n_chars"), file)
-    return unigram.digests(encoded, file, "lang", "source", "n_chars", "token_ids")
+    return unigram.round_trips(docs, file, "lang", "source", "n_chars", "token_ids")
 
 
 STAGES = [

@@ -302,6 +302,12 @@ def test_unigram_splits_as_well_as_the_library(documents):
         assert worth(row.token_ids) == pytest.approx(worth(theirs), rel=1e-5), text[:40]
         assert sum(not vocabulary.normal[i] for i in row.token_ids) == sum(not vocabulary.normal[i] for i in theirs)
         assert decoded[row.doc_id] == text.replace(unigram.MARKER, " ")
+    one_pass = {r.doc_id: r for r in unigram.round_trips(documents, file, "token_ids").collect()}
+    for row in encoded.collect():
+        found = one_pass[row.doc_id]
+        assert found.token_ids == row.token_ids and found.n_tokens == len(row.token_ids)
+        assert found.ids_crc32 == zlib.crc32(np.array(row.token_ids, "<u4").tobytes())
+        assert found.round_trip == (decoded[row.doc_id] == (row.text or ""))
 
 
 def test_token_files_hold_the_library_s_ids(spark, documents):

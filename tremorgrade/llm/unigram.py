@@ -290,21 +290,21 @@ def _unigram(file: str) -> Unigram:
     return Unigram(load(file))
 
 
+def _encode(batches: Iterator[pa.RecordBatch], file: str) -> Iterator[pa.RecordBatch]:
+    model = _unigram(file)
+    for batch in pieces(batches, "text"):
+        ids, counts = encode_texts(model, batch["text"])
+        offsets = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
+        column = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, column], names=[*batch.schema.names, "token_ids"]
+        )
+
+
 def encode(documents: DataFrame, file: str) -> DataFrame:
     """The documents with their ids as column ``token_ids``."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _unigram(file)
-        for batch in pieces(batches, "text"):
-            ids, counts = encode_texts(model, batch["text"])
-            offsets = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
-            column = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, column], names=[*batch.schema.names, "token_ids"]
-            )
-
-    return documents.mapInArrow(run, f"{schema}, token_ids array<int>")
+    return documents.mapInArrow(lambda batches: _encode(batches, file), f"{schema}, token_ids array<int>")
 
 
 def decode(encoded: DataFrame, file: str) -> DataFrame:
@@ -328,47 +328,55 @@ def _decoded(decoder: Decoder, batch: pa.RecordBatch) -> list[bytes]:
     return decoder.decode(ids, offsets - offsets[0])
 
 
-def digests(encoded: DataFrame, file: str, *others: str) -> DataFrame:
-    """Of each encoded document, besides other columns as they are: number of ids, of byte pieces, CRC-32 of the ids (little-endian
-    32-bit), CRC-32 of the decoded bytes, and whether they are the text's."""
-    import sentencepiece  # noqa: F401  the workers need it; say so early
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = load(file)
-        decoder = Decoder(vocabulary)
-        is_byte = np.zeros(len(vocabulary.pieces), bool)
-        is_byte[vocabulary.of_byte[vocabulary.of_byte >= 0]] = True
-        for batch in batches:
-            lists = batch["token_ids"]
-            offsets = lists.offsets.to_numpy().astype(np.int64)
-            ids = lists.values.to_numpy()
-            fallen = np.concatenate(([0], np.cumsum(is_byte[ids])))
-            decoded = _decoded(decoder, batch)
-            texts = pc.fill_null(batch["text"].cast(pa.binary()), b"").to_pylist()
-            values = memoryview(ids.astype("<u4")).cast("B")
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch["doc_id"],
-                    pa.array(np.diff(offsets)),
-                    pa.array(fallen[offsets[1:]] - fallen[offsets[:-1]]),
-                    pa.array(
-                        [zlib.crc32(values[4 * a : 4 * b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)],
-                        pa.int64(),
-                    ),
-                    pa.array([zlib.crc32(t) for t in decoded], pa.int64()),
-                    pa.array([a == b for a, b in zip(decoded, texts, strict=True)]),
-                    *(batch[c] for c in others),
-                ],
-                names=[*columns, *others],
-            )
-
-    columns = {
-        "doc_id": "long", "n_tokens": "long", "n_byte_pieces": "long",
-        "ids_crc32": "long", "decoded_crc32": "long", "round_trip": "boolean",
-    }
-    kinds = columns | {f.name: f.dataType.simpleString() for f in encoded.select(*others).schema}
-    chosen = encoded.select("doc_id", "text", *[c for c in dict.fromkeys(["token_ids", *others])])
-    return chosen.mapInArrow(run, ", ".join(f"`{c}` {kind}" for c, kind in kinds.items()))
+_DIGESTS = {
+    "doc_id": "long", "n_tokens": "long", "n_byte_pieces": "long",
+    "ids_crc32": "long", "decoded_crc32": "long", "round_trip": "boolean",
+}
+
+
+def _digest(
+    batches: Iterator[pa.RecordBatch], file: str, others: tuple[str, ...]
+) -> Iterator[pa.RecordBatch]:
+    vocabulary = load(file)
+    decoder = Decoder(vocabulary)
+    is_byte = np.zeros(len(vocabulary.pieces), bool)
+    is_byte[vocabulary.of_byte[vocabulary.of_byte >= 0]] = True
+    for batch in batches:
+        lists = batch["token_ids"]
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        ids = lists.values.to_numpy()
+        fallen = np.concatenate(([0], np.cumsum(is_byte[ids])))
+        decoded = _decoded(decoder, batch)
+        texts = pc.fill_null(batch["text"].cast(pa.binary()), b"").to_pylist()
+        values = memoryview(ids.astype("<u4")).cast("B")
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch["doc_id"],
+                pa.array(np.diff(offsets)),
+                pa.array(fallen[offsets[1:]] - fallen[offsets[:-1]]),
+                pa.array(
+                    [zlib.crc32(values[4 * a : 4 * b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)],
+                    pa.int64(),
+                ),
+                pa.array([zlib.crc32(t) for t in decoded], pa.int64()),
+                pa.array([a == b for a, b in zip(decoded, texts, strict=True)]),
+                *(batch[c] for c in others),
+            ],
+            names=[*_DIGESTS, *others],
+        )
+
+
+def round_trips(documents: DataFrame, file: str, *others: str) -> DataFrame:
+    """Each document encoded and decoded again, by the same task: number of ids, of byte pieces,
+    CRC-32 of the ids (little-endian 32-bit), CRC-32 of the decoded bytes, whether they are the
+    text's, and other columns as they are, ``token_ids`` among them if asked for."""
+    kinds = {f.name: f.dataType.simpleString() for f in documents.schema} | {"token_ids": "array<int>"}
+    kinds = _DIGESTS | {c: kinds[c] for c in others}
+    chosen = documents.select("doc_id", "text", *[c for c in others if c != "token_ids"])
+    return chosen.mapInArrow(
+        lambda batches: _digest(_encode(batches, file), file, others),
+        ", ".join(f"`{c}` {kind}" for c, kind in kinds.items()),
+    )
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -376,4 +384,4 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     file = public_tokenizers.path("piece_bpe_32k.model")
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return digests(encode(documents, file), file)
+    return round_trips(documents, file)
