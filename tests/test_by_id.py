@@ -56,3 +56,16 @@ def test_pushed_range_end_changes_nothing(spark):
 def test_range_ends_are_cut_to_milliseconds(spark):
     p = make_p(spark, [{"station_p_wave_alarm_id": "a", "earth_id": "E", "jk_time": at("10:00:00.000500")}])
     assert by_id.p_by_id_in_range(p, at("09:00:00"), at("10:00:00.000900")).count() == 0
+
+
+def test_pushed_range_end_keeps_the_first_s_alarms(spark):
+    extra = [
+        {"station_s_wave_alarm_id": "q", "jk_time": None, "rcv_jktime": at("09:00:01"), "earth_id": "E9"},
+        {"station_s_wave_alarm_id": "r", "jk_time": at("10:00:09"), "rcv_jktime": at("10:00:10"), "earth_id": None},
+        {"station_s_wave_alarm_id": "v", "jk_time": at("10:00:09"), "rcv_jktime": at("10:00:10"), "earth_id": "E8"},
+    ]
+    s = make_s(spark, S_ALARMS + extra)
+    columns = ["earth_id", "jk_time", "rcv_jktime", "send_time"]
+    for start, end in (("00:00:00", "10:00:08"), ("10:00:08", "10:00:09"), ("10:00:09", "23:00:00")):
+        whole = by_id.s_by_id_in_range(s, at(start), at(end)).select(columns)
+        assert sorted(by_id.s_first_in_range(s, at(start), at(end)).collect()) == sorted(whole.collect())

@@ -200,3 +200,17 @@ def test_row_ids_run_on_across_partitions_in_file_order(spark, tmp_path):
         assert loaded.where("waveform_id = concat('W', id)").count() == count
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_checked_rows_are_read_back_and_not_cached(spark):
+    ingested = cleaning.ingest(text_rows(spark, {}, {"duration": "x"}))
+    assert not ingested.checked.is_cached
+    text = ingested.loaded._jdf.queryExecution().toString()
+    assert "InMemoryRelation" not in text and "transform(" not in text and len(text) < 100_000
+    assert (ingested.loaded.count(), ingested.rejected.count()) == (1, 1)
+
+
+def test_interference_label_may_hold_quotes(spark):
+    label = "it's \\ noise"
+    rows = cleaning.null_interference(text_rows(spark, {"earthquake_type": label}, {}), label).collect()
+    assert [r.actual_peak for r in rows] == [None, "80"]

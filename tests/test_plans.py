@@ -96,6 +96,12 @@ def test_range_end_reaches_the_scan_of_the_p_log(spark, logs):
     assert set(re.findall(r"(\w+):", schema)) == {"earth_id", "jk_time", "rcv_jktime", P_ALARM_ID}
 
 
+def test_range_end_reaches_the_scan_of_the_s_log(spark, logs):
+    _, s = logs
+    text = plan(by_id.s_first_in_range(s, at("00:00:00"), at("12:00:00")))
+    assert "LessThanOrEqual(jk_time" in text and "x_acc_value" not in log_scans(text)[0]
+
+
 def test_by_id_merges_before_it_shuffles(spark, logs):
     _, s = logs
     text = plan(by_id.s_by_id(s))

@@ -52,6 +52,17 @@ def p_by_id_in_range(p_alarms: DataFrame, start, end) -> DataFrame:
     return in_range(p_by_id(p_alarms.where(f"jk_time <= {_bound(end)}")), start, end)
 
 
+def s_first_in_range(s_alarms: DataFrame, start, end) -> DataFrame:
+    """Only the first alarm of any level of each event, where it lies in the closed range.
+
+    As for P, alarms after the range cannot change which events these are, so their
+    bound reaches the scan; the levels of ``s_by_id_in_range`` may come later and need them.
+    """
+    until = s_alarms.where(f"earth_id IS NOT NULL AND jk_time <= {_bound(end)}")
+    first = F.expr(f"min({_nulls_last(S_ALARM_ID)}) AS _first")
+    return in_range(until.groupBy("earth_id").agg(first).selectExpr("earth_id", *_times("_first", "")), start, end)
+
+
 def s_by_id_in_range(s_alarms: DataFrame, start, end) -> DataFrame:
     """``s_by_id`` whose first alarm of any level lies in the closed range."""
     return in_range(s_by_id(s_alarms), start, end)

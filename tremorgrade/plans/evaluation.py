@@ -114,4 +114,6 @@ def timed_kpi(name: str, p_alarms: DataFrame, s_alarms: DataFrame, start, end) -
     kpi = _BY_NAME[name]
     if kpi.on == "p_by_id":
         return kpis.run_kpi(by_id.p_by_id_in_range(p_alarms, start, end), kpi)
+    if kpi.on == "s_first":
+        return kpis.run_kpi(by_id.s_first_in_range(s_alarms, start, end), kpi)
     return kpis.run_kpi(by_id.s_by_id_in_range(s_alarms, start, end), kpi)

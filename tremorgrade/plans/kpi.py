@@ -166,7 +166,7 @@ TIMED_KPIS = (
         extras=_spread("send_time", "max min avg"), **_TIMED,
     ),
     Kpi(
-        "tkpi_s40_send", "s_by_id", "S alarm transmission time ≤0.1s (40gal)",
+        "tkpi_s40_send", "s_first", "S alarm transmission time ≤0.1s (40gal)",
         shares=(Share("send_time < 0.1", 95, "95%"),),
         extras=_spread("send_time"), **_TIMED,
     ),

@@ -18,6 +18,7 @@ from tremorgrade.schema import (
     TEXT_LIMITS,
     TRUTH_COLUMNS,
 )
+from tremorgrade.session import computed_once
 from tremorgrade.sources.answer_key import add_row_ids
 
 # The wave type that carries no truth, and texts that mean no time.
@@ -47,7 +48,8 @@ _FRACTION = r"[.]\\d{1,6}"
 
 def null_interference(rows: DataFrame, label: str = INTERFERENCE) -> DataFrame:
     """Drop the truth columns of interference waves."""
-    is_noise = f"earthquake_type = '{label}'"
+    quoted = label.replace("\\", "\\\\").replace("'", "\\'")
+    is_noise = f"earthquake_type = '{quoted}'"
     return _replace(
         rows, {c: f"CASE WHEN {is_noise} THEN NULL ELSE {c} END" for c in TRUTH_COLUMNS}
     )
@@ -166,8 +168,8 @@ _NULLABLE_KEY = T.StructType(
 class Ingested:
     """Cleaned rows with their errors, split on demand.
 
-    The rows are read and checked once and cached, as the key, the quarantine
-    and the report all come from them; ``close`` frees them.
+    The rows are read and checked once and written to the shared folder, as the key,
+    the quarantine and the report all come from them: each reads the columns it needs.
     """
 
     checked: DataFrame
@@ -196,12 +198,9 @@ class Ingested:
             "count_if(size(errors) > 0) AS rejected",
         ).selectExpr("*", f"coalesce(CAST({loaded_pct} AS DECIMAL(5,2)), 0.00BD) AS loaded_pct")
 
-    def close(self) -> None:
-        self.checked.unpersist()
-
 
 def ingest(raw: DataFrame, interference: str = INTERFERENCE) -> Ingested:
     """Clean text rows. An ``id`` column already there is kept, else rows are numbered."""
     if "id" not in raw.columns:
         raw = add_row_ids(raw)
-    return Ingested(typed(blank_to_null(null_interference(raw, interference))).persist())
+    return Ingested(computed_once(typed(blank_to_null(null_interference(raw, interference)))))
