@@ -279,6 +279,32 @@ def test_quality_on_held_out_documents(spark):
     assert all(r.keep for r in quality.score(documents, untaught).collect())
 
 
+def test_quality_learns_from_every_unlabelled_document(spark, monkeypatch):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(200)]
+    text = lambda extra: " ".join(rng.choices(words, k=12) + extra)
+    foul = {i for i in range(5000) if i % 25 == 0 or (i < 300 and i % 3 == 0)}
+    rows = [
+        (i, text(["vile" if i < 300 else "grue"] if i in foul else []), "en", "foul" if i in foul else "fair", 60)
+        for i in range(5000)
+    ]
+    labels = [(i, None if i % 2 else 1, int(i in foul)) for i in range(300)]
+    taught, sums = [], quality._sums
+
+    def spy(*given):
+        found = sums(*given)
+        taught.append([n for n, _, _ in found["toxic"]])
+        return found
+
+    monkeypatch.setattr(quality, "_sums", spy)
+    documents = spark.createDataFrame([*rows, (None, text([]), "en", "fair", 60)], DOCUMENTS)
+    models = quality.train(documents, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert taught[-1][0] == 4701  # the text view: by metadata, which is sure of all
+    alone = [(1, text(["grue"]), "xx", "new", 60), (2, text([]), "xx", "new", 60)]
+    got = {r.doc_id: r.toxic for r in quality.score(spark.createDataFrame(alone, DOCUMENTS), models).collect()}
+    assert got[1] > 0.5 > got[2]
+
+
 def test_unigram_splits_as_well_as_the_library(documents):
     from sentencepiece import SentencePieceProcessor
     from sentencepiece import sentencepiece_model_pb2 as model_file
