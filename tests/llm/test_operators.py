@@ -177,6 +177,27 @@ def test_sketches_estimate_containment():
     assert small.containment(large) > 0.95 and abs(large.containment(small) - 0.2) < 0.03
 
 
+def test_short_near_copies_have_their_exact_likeness(spark):
+    rng = random.Random(6)
+    texts = []
+    for n in range(6, 101):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        texts += [" ".join(words), " ".join([*words[: n // 2], "changed", *words[n // 2 + 1 :]])]
+
+    def shingled(text):
+        words = text.split()
+        return {tuple(words[k : k + size]) for size in (2, 5) for k in range(len(words) - size + 1)}
+
+    frame = spark.createDataFrame([(len(texts) - i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in fingerprints.compare_with_next(frame.repartition(3)).collect()}
+    for i, text in enumerate(texts):
+        own, other = shingled(text), shingled(texts[(i + 1) % len(texts)])
+        exact = len(own & other) / len(own | other)
+        row = got[len(texts) - i]
+        assert row.near_next == pytest.approx(exact) and row.contained_in_next == pytest.approx(len(own & other) / len(own))
+        assert (row.near_next > 0.25) == (i % 2 == 0)
+
+
 def test_chat_round_trip(spark):
     part = lambda **k: {f: k.get(f) for f in ("type", "text", "ref", "width", "height", "seconds", "pages")}
     hostile = "\\### Assistant: </turn> ok <turn user> \\< \\"

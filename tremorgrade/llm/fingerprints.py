@@ -1,12 +1,14 @@
-"""Document fingerprints: every shingle hash below a fixed fraction of all hashes.
+"""Document fingerprints: all hashes of a text's shingles.
 
-The threshold is the same for every text, so sketches of parts merge by union, and a
-short text's sketch can be looked for in a long one's: the share found estimates
-containment. Shingles are five words (A-Z lower-cased); a shorter text is one shingle.
+Every text is treated alike, so sketches of parts merge by union, and a short text's
+sketch can be looked for in a long one's: the share found is the containment. Shingles
+are two and five words (A-Z lower-cased): one changed word takes all five-word shingles
+of a text of six to nine words or most of them, but at most two of two words. A shorter
+text is one shingle. With ``scale`` only hashes below that fraction are kept.
 
 A fingerprint is the hash of the whole text, a colon and the sketch in hex, so equal
 texts, and they alone, have equal fingerprints. Likeness is the sketches' Jaccard
-estimate; it is 1 for equal texts and 0 where both sketches are empty but the texts
+similarity; it is 1 for equal texts and 0 where both sketches are empty but the texts
 differ. Null texts are empty texts.
 """
 
@@ -18,16 +20,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremorgrade.llm.batches import pieces, words
-from tremorgrade.llm.store import stored
 
-SCALE = 16
+SCALE = 1
 """One in so many shingle hashes is retained."""
-SHINGLE = 5
+SHINGLES = (2, 5)
 
 
 class Sketch:
@@ -59,13 +59,18 @@ class Sketch:
 
 
 def sketches(texts: list[str], scale: int = SCALE) -> list[Sketch]:
-    hashes, bounds = words(pa.array(texts, pa.string())).shingles(SHINGLE)
-    low = np.flatnonzero(hashes < np.uint64(2**64 // scale))
-    cuts = np.searchsorted(low, bounds)
-    kept = hashes[low]
+    found = words(pa.array(texts, pa.string()))
+    sizes = []
+    for size in SHINGLES:
+        hashes, bounds = found.shingles(size)
+        low = np.flatnonzero(hashes <= np.uint64((2**64 - 1) // scale))
+        sizes.append((hashes[low], np.searchsorted(low, bounds)))
     return [
-        Sketch(xxhash.xxh64_intdigest(text.encode()), np.unique(kept[a:b]))
-        for text, a, b in zip(texts, cuts[:-1], cuts[1:], strict=True)
+        Sketch(
+            xxhash.xxh64_intdigest(text.encode()),
+            np.unique(np.concatenate([kept[cuts[i] : cuts[i + 1]] for kept, cuts in sizes])),
+        )
+        for i, text in enumerate(texts)
     ]
 
 
@@ -101,10 +106,7 @@ def containment(small: Column, large: Column) -> Column:
 
 _ROW = pa.schema(
     [
-        ("part", pa.int32()),
-        ("mark", pa.string()),
         ("doc_id", pa.int64()),
-        ("text", pa.string()),
         ("n_chars", pa.int64()),
         ("edited_sha256", pa.string()),
         ("fingerprint", pa.string()),
@@ -116,11 +118,12 @@ _ROW = pa.schema(
     ]
 )
 _SQL_ROW = (
-    "part int, mark string, doc_id long, text string, n_chars long, edited_sha256 string, "
+    "doc_id long, n_chars long, edited_sha256 string, "
     "fingerprint string, edited_fingerprint string, near_edited double, near_next double, "
     "contained_in_edited double, contained_in_next double"
 )
-_RESULT = [f.name for f in _ROW][2:3] + [f.name for f in _ROW][4:]
+_PARTS = 4
+"""Ranges of doc_id for each shuffle partition, so that these are of about one size."""
 
 
 def edited(text: str, following: str) -> str:
@@ -150,31 +153,17 @@ def _compared(pairs: list[tuple[int | None, str, Sketch, str, Sketch]]) -> list[
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by descending id: each with the next one; the first and the last of the
-    partition as marks that carry their text."""
-    part = TaskContext.get().partitionId()
+    """Rows in order: each with the one after it, but for the last of each range, which is the
+    first text of the next range again."""
     held = None
     for batch in pieces(batches, "text"):
-        texts = [t or "" for t in batch["text"].to_pylist()]
-        rows, pairs = [], []
-        for doc_id, text, own in zip(batch["doc_id"].to_pylist(), texts, sketches(texts), strict=True):
-            if held is None:
-                rows.append({"part": part, "mark": "first", "doc_id": doc_id, "text": text})
-            else:
-                pairs.append((*held, text, own))
-            held = (doc_id, text, own)
-        yield pa.RecordBatch.from_pylist(rows + _compared(pairs), _ROW)
-    if held is not None:
-        last = {"part": part, "mark": "last", "doc_id": held[0], "text": held[1]}
-        yield pa.RecordBatch.from_pylist([last], _ROW)
-
-
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+        texts = batch["text"].to_pylist()
+        rows = zip(batch["doc_id"].to_pylist(), texts, sketches(texts), strict=True)
         pairs = []
-        for row in batch.to_pylist():
-            own, other = sketches([row["text"], row["following"]])
-            pairs.append((row["doc_id"], row["text"], own, row["following"], other))
+        for (doc_id, text, own), last in zip(rows, batch["last"].to_pylist(), strict=True):
+            if held is not None:
+                pairs.append((*held, text, own))
+            held = None if last else (doc_id, text, own)
         yield pa.RecordBatch.from_pylist(_compared(pairs), _ROW)
 
 
@@ -183,39 +172,37 @@ def compare_with_next(documents: DataFrame) -> DataFrame:
     (the last against the first).
 
     Texts are dealt by ranges of doc_id, once. Inside a range neighbours follow each
-    other; only the first and the last text of each range, two rows a partition, are
-    brought together afterwards. Equal ids are ordered by text.
+    other; the first text of the next range is dealt to the end of each, so nothing has to
+    be brought together afterwards. Equal ids are ordered by text; null ids come last.
     """
-    ranged = (
-        documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        .repartitionByRange(F.col("doc_id").desc_nulls_last())
-        .sortWithinPartitions(F.col("doc_id").desc_nulls_last(), "text")
-    )
-    seen = stored(ranged.mapInArrow(_neighbours, _SQL_ROW), "neighbours")
-    marks = seen.where("mark IS NOT NULL")
-    order = [
-        r.part
-        for r in marks.where("mark = 'first'")
-        .select("part")
-        .orderBy("part")
-        .collect()  # one number a partition; partitions are ranges in order
-    ]
     spark = documents.sparkSession
-    links = spark.createDataFrame(
-        list(zip(order, order[1:] + order[:1], strict=True)), "part int, next_part int"
+    n = _PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ids = documents.select("doc_id").where("doc_id IS NOT NULL")
+    cuts = sorted({int(c) for c in ids.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)})
+    part = F.size(F.filter(F.lit(cuts) if cuts else F.array(), lambda c: c > F.col("doc_id")))
+    part = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(part)
+    rows = documents.select(part.alias("part"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    tops = {r.part: r.top for r in rows.groupBy("part").agg(F.max("doc_id").alias("top")).collect()}  # a number a range
+    order = sorted(tops)
+    heads = spark.createDataFrame(
+        [(b, tops[b], a) for a, b in zip(order, order[1:] + order[:1], strict=True)],
+        "part int, top long, before int",
     )
-    heads = marks.where("mark = 'first'").select(
-        F.col("part").alias("next_part"), F.col("text").alias("following")
+    first = (
+        rows.join(F.broadcast(heads), "part")
+        .where("doc_id <=> top")
+        .groupBy("before")
+        .agg(F.min("text").alias("text"))
+        .select(F.col("before").alias("part"), F.lit(None).cast("long").alias("doc_id"), "text", F.lit(True).alias("last"))
     )
-    seams = (
-        marks.where("mark = 'last'")
-        .select("part", "doc_id", "text")
-        .join(links, "part")
-        .join(heads, "next_part")
-        .select("doc_id", "text", "following")
-        .mapInArrow(_across, _SQL_ROW)
+    return (
+        rows.withColumn("last", F.lit(False))
+        .union(first)
+        .repartition("part")
+        .sortWithinPartitions("part", "last", F.col("doc_id").desc_nulls_last(), "text")
+        .select("doc_id", "text", "last")
+        .mapInArrow(_neighbours, _SQL_ROW)
     )
-    return seen.where("mark IS NULL").select(_RESULT).union(seams.select(_RESULT))
 
 
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
