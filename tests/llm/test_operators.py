@@ -153,6 +153,38 @@ def test_decontamination_tolerates_substitutions(spark, monkeypatch, broadcast):
     assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, 1), (2, 1), (4, 2)}
 
 
+def test_short_masks_miss_all_allowed_substitutions():
+    for n in range(1, contamination.WINDOW):
+        assert all(contamination.short_masks(n))
+        for gone in itertools.combinations(range(n), contamination.allowed(n)):
+            assert any(not set(mask) & set(gone) for mask in contamination.short_masks(n))
+
+
+@pytest.mark.parametrize("broadcast", [0, 1_000_000])
+def test_short_items_are_found_inside_long_documents(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(contamination, "BROADCAST_WORDS", broadcast)
+    lengths = [1, 2, 4, 5, 8, 9, 10, 12, 13]
+    items = {n: [f"i{n}x{k}" for k in range(n)] for n in lengths}
+    rows, expected = [], set()
+    for n, words in items.items():
+        for changed in range(4):
+            for gone in itertools.combinations(range(n), min(changed, n)):
+                if changed > 1 and gone[0] % 3:
+                    continue  # some of many
+                own = [f"no{k}" if k in gone else w for k, w in enumerate(words)]
+                for before, after in ((30, 1500 if n == 9 and changed < 2 else 30), (0, 0), (0, 20), (20, 0)):
+                    rows.append((len(rows), " ".join(["a"] * before + own + ["b"] * after)))
+                    if (n - len(gone)) / n >= 0.8:
+                        expected.add((rows[-1][0], n, before, n - len(gone)))
+    found = contamination.find_overlaps(
+        spark.createDataFrame(rows, "doc_id long, text string"),
+        spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string"),
+    ).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {e[:2] for e in expected}
+    exact = {(r.doc_id, r.item_id, r.first_word, r.matched) for r in found if r.item_id < 13}
+    assert exact == {e for e in expected if e[1] < 13}
+
+
 def test_fingerprints_and_neighbours(documents):
     texts = texts_of(documents)
     order = sorted(texts, reverse=True)

@@ -8,6 +8,11 @@ tries all of them). A hit is checked on the words around it: it counts if a stre
 thirteen words over it (or the whole benchmark item, if shorter) agrees in at least
 eight of ten places.
 
+Items of under thirteen words are sought by their own length: every stretch of each
+length that occurs is hashed under masks of that length. Its positions fall into more
+groups than substitutions are allowed, and each mask leaves out as many groups, so
+whichever words are substituted, some mask leaves them all out (a test tries all).
+
 The benchmark is broadcast only if its words, counted first, are few; else both sides
 are shuffled by hash, each row with the words around it. Null and empty texts have no
 words and meet nothing; repeated items and documents are judged each by itself.
@@ -15,6 +20,8 @@ words and meet nothing; repeated items and documents are judged each by itself.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,28 +85,108 @@ def _seeds(texts: DataFrame, key: str) -> DataFrame:
     )
 
 
+def allowed(length: int) -> int:
+    """How many words of an item of this length may be substituted."""
+    return max(k for k in range(length) if (length - k) / length >= LEAST_SHARE)
+
+
+def short_masks(length: int) -> list[tuple[int, ...]]:
+    """Positions kept, such that any allowed substitutions miss all of them under some mask."""
+    left_out = allowed(length)
+    groups = 2 * left_out + 1
+    return [
+        tuple(k for k in range(length) if k % groups not in gone)
+        for gone in combinations(range(groups), left_out)
+    ]
+
+
+def _short_seeds(texts: DataFrame, key: str, lengths: list[int]) -> DataFrame:
+    """(key, size, at, near, length, seed): every stretch of these lengths under every mask of its
+    length. ``near`` is as long as the longest, null beyond the text's ends, where ``at`` may lie
+    by as many words as may be substituted. In chunks, as above."""
+    nothing = F.lit(None).cast("bigint")
+    longest, edge = max(lengths), max(allowed(n) for n in lengths)
+    padded = F.concat(F.array_repeat(nothing, edge), F.col("words"), F.array_repeat(nothing, longest))
+    last = F.size("words") + edge - 1
+    chunks = F.transform(
+        F.sequence(F.lit(0), F.col("last"), F.lit(_CHUNK)),
+        lambda c: F.struct(
+            c.alias("base"), F.slice(F.col("padded"), c + 1, _CHUNK + longest - 1).alias("words")
+        ),
+    )
+    places = F.transform(
+        F.sequence(F.lit(0), F.least(F.col("last") - F.col("chunk.base"), F.lit(_CHUNK - 1))),
+        lambda i: F.struct(
+            (F.col("chunk.base") + i - edge).alias("at"),
+            F.slice(F.col("chunk.words"), i + 1, longest).alias("near"),
+        ),
+    )
+    hashes = [
+        F.struct(
+            F.lit(n).alias("length"),
+            F.xxhash64(F.lit(n), F.lit(number), *[F.get("place.near", F.lit(k)) for k in mask]).alias("seed"),
+        )
+        for n in lengths
+        for number, mask in enumerate(short_masks(n))
+    ]
+    return (
+        texts.select(F.col(key), _words(F.col("text")).alias("words"))
+        .where(F.size("words") > 0)
+        .select(key, F.size("words").alias("size"), last.alias("last"), padded.alias("padded"))
+        .select(key, "size", "last", F.explode(chunks).alias("chunk"))
+        .select(key, "size", F.explode(places).alias("place"))
+        .select(key, "size", "place.at", "place.near", F.explode(F.array(*hashes)).alias("hash"))
+        .select(key, "size", "at", "near", "hash.length", "hash.seed")
+    )
+
+
+def _short_hits(documents: DataFrame, benchmark: DataFrame, lengths: list[int], few: bool) -> DataFrame:
+    """(doc_id, item_id, at, matched, share) of the items of these lengths."""
+    items = (
+        _short_seeds(benchmark, "item_id", lengths)
+        .where("at = 0 AND length = size")
+        .select("item_id", "seed", "length", F.col("near").alias("item_near"))
+    )
+    seeds = _short_seeds(documents, "doc_id", lengths).drop("size")
+    hits = seeds.join(F.broadcast(items) if few else items, ["seed", "length"])
+    equal = F.zip_with("near", "item_near", lambda a, b: F.when(a == b, 1).otherwise(0))
+    matched = F.aggregate(equal, F.lit(0), lambda n, x: n + x)  # beyond its end the item has nulls
+    return (
+        hits.select("doc_id", "item_id", F.greatest("at", F.lit(0)).alias("at"), "length", matched.alias("matched"))
+        .withColumn("share", F.col("matched") / F.col("length"))
+        .select("doc_id", "item_id", "at", "matched", "share")
+    )
+
+
 def find_overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, at, matched, share): for each pair the best stretch, its number of equal
     words, their share, and the first place in the document."""
-    items = _seeds(benchmark.where("item_id IS NOT NULL"), "item_id").select(
-        "item_id", "seed", F.col("size").alias("item_size"), F.col("near").alias("item_near")
+    benchmark, documents = benchmark.where("item_id IS NOT NULL"), documents.where("doc_id IS NOT NULL")
+    sizes = benchmark.select(F.size(_words(F.col("text"))).alias("n"))
+    n_words = sizes.agg(F.sum("n")).first()[0] or 0
+    lengths = sorted(r.n for r in sizes.where(f"n > 0 AND n < {WINDOW}").distinct().collect())
+    few = n_words <= BROADCAST_WORDS
+    items = _seeds(benchmark, "item_id").where(f"size >= {WINDOW}").select(
+        "item_id", "seed", F.col("near").alias("item_near")
     )
-    seeds = _seeds(documents.where("doc_id IS NOT NULL"), "doc_id").drop("size")
-    n_words = benchmark.select(F.sum(F.size(_words(F.col("text"))))).first()[0] or 0
-    hits = seeds.join(F.broadcast(items) if n_words <= BROADCAST_WORDS else items, "seed")
+    seeds = _seeds(documents, "doc_id").drop("size")
+    hits = seeds.join(F.broadcast(items) if few else items, "seed")
     equal = F.zip_with(
         "near", "item_near", lambda a, b: F.when(a == b, 1).otherwise(0)
     )
-    length = F.least(F.col("item_size"), F.lit(WINDOW))
     sums = F.transform(
         F.sequence(F.lit(0), F.lit(_REACH)),
         lambda s: F.aggregate(F.slice(F.col("equal"), s + 1, WINDOW), F.lit(0), lambda n, x: n + x),
     )
+    found = (
+        hits.select("doc_id", "item_id", "at", equal.alias("equal"))
+        .select("doc_id", "item_id", "at", F.array_max(sums).alias("matched"))
+        .select("doc_id", "item_id", "at", "matched", (F.col("matched") / WINDOW).alias("share"))
+    )
+    if lengths:
+        found = found.union(_short_hits(documents, benchmark, lengths, few))
     return (
-        hits.select("doc_id", "item_id", "at", length.alias("length"), equal.alias("equal"))
-        .select("doc_id", "item_id", "at", "length", F.array_max(sums).alias("matched"))
-        .select("doc_id", "item_id", "at", "matched", F.least(F.col("matched") / F.col("length"), F.lit(1.0)).alias("share"))
-        .where(F.col("share") >= LEAST_SHARE)
+        found.where(F.col("share") >= LEAST_SHARE)
         .groupBy("doc_id", "item_id")
         .agg(
             F.min("at").cast("long").alias("first_word"),
