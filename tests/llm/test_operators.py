@@ -111,6 +111,39 @@ def test_jaccard_join_finds_every_component(documents, monkeypatch, light):
     )
 
 
+def test_rows_that_share_a_doc_id_are_told_apart(spark):
+    rng = random.Random(8)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    base, clean, twice, passage, leak = prose(80), prose(90), prose(70), prose(60), prose(20)
+    shared = [prose(30) + passage + prose(30) for _ in range(2)]
+    rows = [
+        (1, base), (5, base + " end"), (5, clean), (7, twice), (7, twice), (8, ""), (8, ""),
+        (9, shared[0]), (9, prose(12)), (10, shared[1]), (11, leak), (11, prose(40)), (None, None),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    gone = [(5, base + " end"), (7, twice)]
+    left = list(rows)
+    for row in gone:
+        left.remove(row)
+    by = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(map(tuple, jaccard_join.keep_first(frame).collect()), key=by) == sorted(left, key=by)
+    found = sorted((r.doc_id or 0, r.component_id or 0) for r in jaccard_join.jaccard_join(frame).collect())
+    assert found == sorted((i or 0, 1 if t == base + " end" else i or 0) for i, t in rows)
+
+    cut = sorted((r.doc_id or 0, r.n_bytes, bytes(r.kept).decode()) for r in suffix_dedup.cut_repeats(frame).collect())
+    whole = {t: t for _, t in rows if t and t not in (base, base + " end", twice, *shared)}
+    for i, size, kept in cut:
+        if size and size in map(len, whole.values()):
+            assert kept in whole
+    assert len(cut) == len(rows)
+    assert [k for i, _, k in cut if i == 7] == ["", ""]
+    assert sorted(k for i, _, k in cut if i == 5) == sorted([clean, " end"])
+
+    items = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    free = [r for r in rows if r[1] != leak]
+    assert sorted(map(tuple, contamination.decontaminate(frame, items).collect()), key=by) == sorted(free, key=by)
+
+
 def test_boundary_weighs_subsets_against_places():
     assert jaccard_join.boundary({}) == 0
     assert jaccard_join.boundary({4: 1000}) >= 4  # a set of four has one subset

@@ -25,6 +25,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tremorgrade.llm.row_keys import keyed
 from tremorgrade.llm.store import stored
 
 #: Positions that each mask keeps, of a stretch of SPAN words.
@@ -199,8 +200,12 @@ def find_overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no part of a benchmark item."""
-    found = find_overlaps(documents, benchmark).select("doc_id").distinct()
-    return documents.join(stored(found, "leaks"), "doc_id", "left_anti").select(documents.columns)
+    rows = keyed(documents)
+    if rows is None:
+        rows = documents.withColumn("row", F.col("doc_id"))
+    found = find_overlaps(rows.select(F.col("row").alias("doc_id"), "text"), benchmark)
+    leaks = stored(found.select(F.col("doc_id").alias("row")).distinct(), "leaks")
+    return rows.join(leaks, "row", "left_anti").select(documents.columns)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

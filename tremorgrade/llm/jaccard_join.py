@@ -25,7 +25,8 @@ The boundary is where enumerating and scanning together cost least, by the count
 sizes. Equal sets are one set with many documents throughout.
 
 Null or empty texts have an empty set, linked with nothing; fewer than five words are
-one shingle. Rows that repeat a doc_id give a row each. Rows without doc_id are counted
+one shingle. Rows that repeat a doc_id give a row each: inside they go by a key of id and
+text, so different texts under one id stay apart. Rows without doc_id are counted
 but not joined: their component is null.
 """
 
@@ -45,6 +46,7 @@ from pyspark.sql import functions as F
 from tremorgrade.llm.batches import Words, pieces, words
 from tremorgrade.llm.components import components
 from tremorgrade.llm.packed import packed, unpacked
+from tremorgrade.llm.row_keys import keyed
 from tremorgrade.llm.store import stored
 
 SHINGLE = 5
@@ -270,7 +272,7 @@ def _verified(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     pairs = stored(pairs, "pairs")
     needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     found = stored(packed(documents).join(needed, "doc_id"), "texts")
-    # Ids are seldom repeated, so only the texts of those that are move to be told apart.
+    # Only equal rows share an id here; the texts of those alone move to be merged.
     again = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
     repeats = found.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     texts = found.join(again, "doc_id", "left_anti").union(repeats)
@@ -309,6 +311,26 @@ def _by_size(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def jaccard_join(documents: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
+    rows = keyed(documents.select("doc_id", "text"))
+    if rows is None:
+        return _joined(documents)
+    found = _by_row(rows)
+    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return found.join(least, "component", "left").select(
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
+    )
+
+
+def _by_row(rows: DataFrame) -> DataFrame:
+    """(row, doc_id, n_shingles, component) of keyed rows; component is the key of one of them."""
+    found = _joined(rows.select(F.col("row").alias("doc_id"), "text"))
+    found = found.select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("component"))
+    ids = rows.select("row", "doc_id").where("row IS NOT NULL").distinct()
+    return stored(found.join(ids, "row", "left"), "rows")
+
+
+def _joined(documents: DataFrame) -> DataFrame:
+    """The same where only equal rows share a doc_id."""
     profiles = stored(_profiles(documents), "profiles")
     every = profiles.where("chunk IS NULL")
     classes = (
@@ -374,9 +396,22 @@ def jaccard_join(documents: DataFrame) -> DataFrame:
 
 
 def keep_first(documents: DataFrame) -> DataFrame:
-    """One document of each component, the one of the least id; all without shingles."""
-    gone = jaccard_join(documents).where("doc_id <> component_id").select("doc_id").distinct()
-    return documents.join(stored(gone, "copies"), "doc_id", "left_anti").select(documents.columns)
+    """One row of each component, one of the least id; all without shingles."""
+    rows = keyed(documents)
+    if rows is None:
+        gone = _joined(documents).where("doc_id <> component_id").select("doc_id").distinct()
+        return documents.join(stored(gone, "copies"), "doc_id", "left_anti").select(documents.columns)
+    found = _by_row(rows)
+    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    gone = found.join(first, "component").where("n_shingles > 0 AND row <> first.row").select("row").distinct()
+    kept = rows.join(stored(gone, "copies"), "row", "left_anti")
+    # Of equal rows one is left, unless they have no words.
+    equal = kept.where("repeated").where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    others = kept.where("NOT repeated").union(
+        kept.where("repeated").where(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    )
+    one = equal.groupBy("row").agg(F.min(F.struct(*documents.columns)).alias("one")).select("one.*")
+    return others.select(documents.columns).union(one.select(documents.columns))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

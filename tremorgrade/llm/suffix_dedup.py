@@ -23,7 +23,7 @@ Identifiers have 64 bits and always stand beside the bucket's own 64.
 
 Null texts are empty; empty texts and those under 200 bytes lose nothing unless they
 share 200 bytes. Rows that repeat a doc_id are copies of each other as any others are;
-their ranges are joined by id. Rows without doc_id are left as they are and not looked at.
+their ranges are joined by a key of id and text, which only equal rows share. Rows without doc_id are left as they are and not looked at.
 """
 
 from __future__ import annotations
@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from tremorgrade.llm.batches import as_bytes, pieces
 from tremorgrade.llm.byte_grams import Grams, blocks
 from tremorgrade.llm.packed import packed, unpacked
+from tremorgrade.llm.row_keys import keyed
 from tremorgrade.llm.store import stored
 
 LENGTH = 200
@@ -235,6 +236,16 @@ def repeated(documents: DataFrame) -> DataFrame:
 def cut_repeats(documents: DataFrame, *others: str) -> DataFrame:
     """(doc_id, n_bytes, kept, spans) and other columns as they are: what is left of each
     document's bytes, and the maximal removed runs as (start, stop)."""
+    rows = keyed(documents)
+    if rows is None:
+        return _cut(documents, *others)
+    own = rows.select(F.col("row").alias("doc_id"), "text", F.col("doc_id").alias("own_id"), *others)
+    found = _cut(own, "own_id", *others)
+    return found.select(F.col("own_id").alias("doc_id"), "n_bytes", "kept", "spans", *others)
+
+
+def _cut(documents: DataFrame, *others: str) -> DataFrame:
+    """The same where only equal rows share a doc_id."""
     ranges = repeated(documents)
     spans = ranges.groupBy("doc_id").agg(
         F.collect_set(F.struct("start", "stop")).alias("ranges")  # a document's own, no more than its bytes
