@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from tremorgrade.llm import (
+    ball_tree,
     chat,
     contamination,
+    divergence,
     fingerprints,
+    histograms,
     jaccard_join,
     licenses,
     quality,
@@ -31,7 +34,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": quality.op8_quality,
     "op9_sentencepiece": unigram.op9_sentencepiece,
     "op10_token_files": token_files.op10_token_files,
+    "op11_divergence": divergence.op11_divergence,
+    "op12_quality_rules": histograms.op12_quality_rules,
+    "op13_lexical_search": ball_tree.op13_lexical_search,
     "pipeline": corpus_pipeline.run,
 }
 
-SQL = {"op2_chat_format": chat.OP2_SQL}
+SQL = {
+    "op2_chat_format": chat.OP2_SQL,
+    "op11_divergence": divergence.OP11_SQL,
+    "op12_quality_rules": histograms.OP12_SQL,
+    "op13_lexical_search": ball_tree.OP13_SQL,
+}
