@@ -31,8 +31,8 @@ from tremorgrade.llm.store import stored
 BROADCAST_LANGS = 20_000
 """References are some 2 KB a language: so many are 40 MB."""
 _BLANKS = " \t\n\x0b\x0c\r"
-_BLANK = r"[ \t-\r]+"
-_SYMBOLS = r"[#*$%&|<>]+"
+_SYMBOLS = "[#*$%&|<>]+"
+_LOWER = "[a-z]+"
 #: Classes of characters in words; lower-case ASCII letters and control characters are the rest.
 _CLASSES = {
     "upper": "[A-Z]+",
@@ -63,25 +63,37 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 def words(text: Column) -> Column:
     """Maximal runs of anything but blanks, in order; none for null."""
-    inner = F.btrim(text, F.lit(_BLANKS))
-    none = F.array().cast("array<string>")
-    return F.when(F.length(inner) > 0, F.split(inner, _BLANK)).otherwise(none)
+    even = F.coalesce(text, F.lit(""))
+    for blank in _BLANKS[1:]:
+        even = F.replace(even, F.lit(blank), F.lit(" "))
+    # One plain character needs no pattern matching.
+    return F.array_remove(F.split(even, " "), "")
 
 
 def repeated_words(found: Column, size: int) -> Column:
     """How many words lie in a run of `size` words that the list holds twice or more.
 
-    Runs are told apart by 64-bit hashes. Most texts repeat none, which a set of the hashes
-    shows; for the others hashes are sorted with their places.
+    Runs are told apart by 64-bit hashes, made from those of shorter runs. Most texts repeat
+    none, which a set of the hashes shows; for the others hashes are sorted with their places.
     """
-    starts = F.sequence(F.lit(0), F.size(found) - size)
-    hashed = F.transform(starts, lambda i: F.xxhash64(*[F.get(found, i + k) for k in range(size)]))
 
     def among(hashes: Column) -> Column:
         repeats = F.size(F.array_distinct(hashes)) < F.size(hashes)
         return F.when(repeats, _covered(hashes, size)).otherwise(F.lit(0).cast("long"))
 
-    return F.when(F.size(found) > size, _let(hashed, among)).otherwise(F.lit(0).cast("long"))
+    def runs_of(length: int) -> Callable[[Column], Column]:
+        def longer(hashes: Column) -> Column:
+            if length >= size:
+                return among(hashes)
+            step = min(length, size - length)  # the two runs may share words
+            rest = F.size(hashes) - step
+            pairs = F.slice(hashes, 1, rest), F.slice(hashes, step + 1, rest)
+            return _let(F.zip_with(*pairs, lambda a, b: F.xxhash64(a, b)), runs_of(length + step))
+
+        return longer
+
+    counted = _let(F.transform(found, lambda word: F.xxhash64(word)), runs_of(1))
+    return F.when(F.size(found) > size, counted).otherwise(F.lit(0).cast("long"))
 
 
 def _covered(hashes: Column, size: int) -> Column:
@@ -118,15 +130,21 @@ def _count(text: Column, pattern: str) -> Column:
     return (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("long")
 
 
-def char_classes(joined: Column) -> Column:
-    """Counts per class of the characters of words, joined into one text."""
+def char_counts(joined: Column) -> Column:
+    """A struct of symbols and classes: counts in words joined into one text.
 
-    def counted(text: Column) -> Column:
-        known = [_count(text, pattern) for pattern in _CLASSES.values()]
-        rest = F.length(text).cast("long")
-        return _let(F.array(*known), lambda c: F.concat(c, F.array(rest - _total(c))))
+    Most of it is lower case; patterns only see what is left without that.
+    """
 
-    return _let(joined, counted)
+    def counted(left: Column) -> Column:
+        known = F.array(*[_count(left, pattern) for pattern in _CLASSES.values()])
+        whole = F.length(joined).cast("long")
+        return F.struct(
+            _count(left, _SYMBOLS).alias("symbols"),
+            _let(known, lambda c: F.concat(c, F.array(whole - _total(c)))).alias("classes"),
+        )
+
+    return _let(F.regexp_replace(joined, _LOWER, ""), counted)
 
 
 def _total(values: Column) -> Column:
@@ -158,23 +176,22 @@ def js_distance(ones: Column, others: Column) -> Column:
 
 def references(documents: DataFrame, rules: Rules) -> DataFrame:
     """lang, classes, common, word_bins: one row per language with documents of enough words."""
-    rows = (
+    counted = stored(
         documents.select(F.coalesce("lang", F.lit("")).alias("lang"), words(F.col("text")).alias("found"))
         .where(F.size("found") >= rules.histogram_words)
+        .select("lang", F.explode("found").alias("word"))
+        .groupBy("lang", "word")
+        .agg(F.count(F.lit(1)).alias("n")),
+        "words",
     )
     size = len(_CLASSES) + 1
+    # From distinct words with their numbers: far less than all texts.
     classes = (
-        rows.select("lang", char_classes(F.array_join("found", "")).alias("c"))
+        counted.select("lang", "n", char_counts(F.col("word"))["classes"].alias("c"))
         .groupBy("lang")
-        .agg(*[F.sum(F.get("c", F.lit(k))).alias(f"c{k}") for k in range(size)])
+        .agg(*[F.sum(F.get("c", F.lit(k)) * F.col("n")).alias(f"c{k}") for k in range(size)])
         .select("lang", F.array(*[f"c{k}" for k in range(size)]).alias("classes"))
     )
-    counted = stored(
-        rows.select("lang", F.explode("found").alias("word"))
-        .groupBy("lang", "word")
-        .agg(F.count(F.lit(1)).alias("n")),
-        "words",
-    )
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     common = (
         counted.withColumn("place", F.row_number().over(order))
@@ -209,14 +226,19 @@ def judge(documents: DataFrame, rules: Rules | None = None) -> DataFrame:
     whole = F.col("text")
 
     def facts(found: Column) -> Column:
-        joined = F.array_join(found, "")
-        chars = F.length(joined).cast("long")
-        far_chars = js_distance(char_classes(joined), F.col("classes")) > rules.char_distance
+        return _let(F.array_join(found, ""), lambda joined: of_words(found, joined))
+
+    def of_words(found: Column, joined: Column) -> Column:
+        return _let(char_counts(joined), lambda counts: measures(found, joined, counts))
+
+    def measures(found: Column, joined: Column, counts: Column) -> Column:
+        n, chars = F.size(found).cast("long"), F.length(joined).cast("long")
+        far_chars = js_distance(counts["classes"], F.col("classes")) > rules.char_distance
         far_words = js_distance(word_counts(found, F.col("common")), F.col("word_bins"))
-        n = F.size(found).cast("long")
         return F.struct(
             n.alias("n_words"),
             chars.alias("word_chars"),
+            counts["symbols"].alias("n_symbols"),
             repeated_words(found, rules.window).alias("n_repeat_words"),
             (F.col("classes").isNotNull() & (chars >= rules.histogram_chars) & far_chars).alias("odd_chars"),
             (
@@ -232,13 +254,12 @@ def judge(documents: DataFrame, rules: Rules | None = None) -> DataFrame:
     return rows.select(
         "doc_id",
         _let(words(whole), facts).alias("f"),
-        _count(whole, _SYMBOLS).alias("n_symbols"),
         repeated_lines(whole).alias("n_dup_lines"),
     ).select(
         "doc_id",
         "f.n_words",
         "f.word_chars",
-        "n_symbols",
+        "f.n_symbols",
         "n_dup_lines",
         "f.n_repeat_words",
         base_failed.alias("base_failed"),
