@@ -522,6 +522,11 @@ def statements() -> dict[str, str]:
         "ingest_quarantine": f"{clean} SELECT * FROM checked WHERE errors <> ''",
         "ingest_loaded": f"{clean} SELECT id, {_loaded_columns()} FROM checked WHERE errors = ''",
         "ingest_report": f"{clean} {_REPORT}",
+        "ingest_merged": f"""{clean} SELECT * EXCLUDE (event_id, place) REPLACE (CAST(id AS BIGINT) AS id) FROM
+  (SELECT *, row_number() OVER (PARTITION BY id ORDER BY event_id % 3 = 0, send_time DESC, test_id DESC,
+    waveform_id DESC) AS place
+  FROM (SELECT id // 2 AS id, id AS event_id, {_loaded_columns()} FROM checked WHERE errors = ''))
+  WHERE place = 1""",
         "ingest_row_id": f"{raw} SELECT row_number() OVER (ORDER BY id) AS row_id, id AS event_id,"
         " waveform_id FROM raw",
     }

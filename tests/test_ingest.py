@@ -1,3 +1,6 @@
+import contextlib
+import io
+import re
 from datetime import datetime
 from decimal import Decimal
 
@@ -202,12 +205,44 @@ def test_row_ids_run_on_across_partitions_in_file_order(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
-def test_checked_rows_are_read_back_and_not_cached(spark):
-    ingested = cleaning.ingest(text_rows(spark, {}, {"duration": "x"}))
-    assert not ingested.checked.is_cached
-    text = ingested.loaded._jdf.queryExecution().toString()
-    assert "InMemoryRelation" not in text and "transform(" not in text and len(text) < 100_000
-    assert (ingested.loaded.count(), ingested.rejected.count()) == (1, 1)
+def test_typing_stays_in_compiled_code(spark):
+    """No lambda, and no generated method too long for the JVM to compile (8000 bytes)."""
+    rows = cleaning._cleaned_and_typed(text_rows(spark, {}).selectExpr("1L AS id", "*"), cleaning.INTERFERENCE)
+    seen = io.StringIO()
+    with contextlib.redirect_stdout(seen):
+        rows.explain("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", seen.getvalue())]
+    assert sizes and max(sizes) < 8000
+    assert "lambdafunction" not in seen.getvalue()
+
+
+def test_stored_rows_are_counted_while_they_are_written(spark):
+    rows = text_rows(spark, {}, {"duration": "x"}, {"station_name": " "}, {"p_wave_time": "?"})
+    ingested = cleaning.ingest(rows)
+    stored = ingested.stored()
+    assert stored.counts == (4, 3, 2, 2)
+    assert stored.report().collect() == ingested.report().collect()
+    for table in ("loaded", "rejected"):
+        kept, anew = getattr(stored, table), getattr(ingested, table)
+        assert kept.columns == anew.columns
+        assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, anew.collect()))
+    assert not stored.checked.is_cached
+    empty = cleaning.ingest(rows.where("false")).stored()
+    assert empty.counts == (0, 0, 0, 0) and empty.loaded.count() == 0
+
+
+def test_rows_that_are_no_scan_are_not_numbered(spark):
+    with pytest.raises(ValueError, match="straight from a scan"):
+        add_row_ids(text_rows(spark, {}, {}).repartition(3))
+
+
+def test_scan_of_few_partitions_is_dealt_out(spark, tmp_path):
+    path = write(tmp_path, ["header", *[line(waveform_id=f"W{i}") for i in range(1, 401)]])
+    raw = read_answer_key(spark, path, encoding="UTF-8")
+    assert raw.rdd.getNumPartitions() == 1
+    loaded = cleaning.ingest(raw).loaded
+    assert loaded.rdd.getNumPartitions() > 1
+    assert loaded.where("waveform_id = concat('W', id)").count() == 400
 
 
 def test_interference_label_may_hold_quotes(spark):

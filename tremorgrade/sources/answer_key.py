@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tremorgrade.schema import ANSWER_KEY_TEXT_SCHEMA
+from tremorgrade.session import straight_from_scan
 
 # Encodings Spark reads without further ado; others need the setting below.
 _BUILT_IN = {"US-ASCII", "ISO-8859-1", "UTF-8", "UTF-16BE", "UTF-16LE", "UTF-16", "UTF-32"}
@@ -40,19 +41,26 @@ def add_row_ids(rows: DataFrame, name: str = "id") -> DataFrame:
     """Number the rows of a scan 1, 2, 3, ... in file order.
 
     Rows are counted per scan partition and numbered on from the partitions
-    before; only those counts, one per partition, come together. ``rows`` must
-    come straight from a scan, so that partitions are the same both times.
+    before; only those counts, one per partition, come together. The scan runs twice, so
+    ``rows`` must come straight from it: shuffled rows are refused, and a partition that is
+    not the one that was counted ends the job.
     """
+    if not straight_from_scan(rows):
+        raise ValueError("rows are numbered in file order, so they must come straight from a scan")
     placed = rows.withColumn("_at", F.monotonically_increasing_id())
     part = F.expr(f"shiftright(_at, {_INDEX_BITS}) AS _part")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         placed.groupBy(part)
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+        .select("_part", "_rows", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
     )
+    inside = f"(_at & {2**_INDEX_BITS - 1})"
+    other = "raise_error('the scan has other partitions than when its rows were counted')"
+    number = f"CASE WHEN {inside} < _rows THEN _offset + {inside} + 1 ELSE CAST({other} AS BIGINT) END"
     return (
         placed.withColumn("_part", F.expr(f"shiftright(_at, {_INDEX_BITS})"))
-        .join(F.broadcast(offsets), "_part")
-        .selectExpr(f"_offset + (_at & {2**_INDEX_BITS - 1}) + 1 AS {name}", *rows.columns)
+        # One row per partition of the scan.
+        .join(F.broadcast(offsets), "_part", "left")
+        .select(F.expr(number).alias(name), *[rows[c] for c in rows.columns])
     )

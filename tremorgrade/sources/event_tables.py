@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremorgrade.schema import ANSWER_KEY_FIELDS, ANSWER_KEY_SCHEMA, P_ALARM_ID, S_ALARM_ID
+from tremorgrade.session import spread
 from tremorgrade.sources import cleaning
 
 INTERFERENCE = "interference"
@@ -167,8 +168,12 @@ def s_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr(*[f"{sql} AS {name}" for name, sql in _S_ALARM.items()])
 
 
-def text_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The damaged answer key, a row for every event: its number and the 28 columns as text."""
-    return events(spark, sf_dir).selectExpr(
+def text_key(spark: SparkSession, sf_dir: str, as_scanned: bool = False) -> DataFrame:
+    """The damaged answer key, a row for every event: its number and the 28 columns as text.
+
+    A scan of few partitions is dealt out first, unless rows are wanted ``as_scanned``.
+    """
+    rows = events(spark, sf_dir)
+    return (rows if as_scanned else spread(rows, "event_id")).selectExpr(
         "event_id AS id", *[f"{_TEXT_KEY[f.name]} AS {f.name}" for f in ANSWER_KEY_FIELDS]
     )
