@@ -8,7 +8,7 @@ import pytest
 from conftest import P_ALARMS, S_ALARMS, WAVES, at, make_key, make_p, make_s
 from tremorgrade import Evaluation, Sizing
 
-PLANS = {"broadcast": Sizing(), "shuffled": Sizing(broadcast_waves=0, salts=3)}
+PLANS = {"broadcast": Sizing(), "shuffled": Sizing(broadcast_waves=0)}
 
 
 @pytest.fixture(params=PLANS)

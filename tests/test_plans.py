@@ -8,7 +8,8 @@ import pytest
 from conftest import at
 from tremorgrade import Evaluation, Sizing
 from tremorgrade.operators import by_id
-from tremorgrade.operators.windows import add_windows
+from tremorgrade.operators.match import First, _earliest, match_windows
+from tremorgrade.operators.windows import add_windows, following_instants
 from tremorgrade.schema import P_ALARM_ID
 from tremorgrade.sources import event_tables
 
@@ -65,7 +66,46 @@ def test_nothing_is_broadcast_by_force_when_windows_are_many(spark, logs):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" not in text
-    assert "_salt" in text
+
+
+def test_hot_instants_are_merged_and_what_stays_hot_is_split(spark, tmp_path):
+    """A third of all alarms share one instant, which many waves want."""
+    key = event_tables.answer_key(spark, SF).where("send_time IS NOT NULL")
+    hot = key.selectExpr("min(send_time) AS t").first().t
+    rows = event_tables.p_alarms(spark, SF).where("jk_time IS NOT NULL").crossJoin(spark.range(400).withColumnRenamed("id", "n"))
+    rows.selectExpr(
+        f"concat({P_ALARM_ID}, '-', n) AS {P_ALARM_ID}",
+        f"CASE WHEN n % 3 = 0 THEN TIMESTAMP_NTZ '{hot}' ELSE timestampadd(MILLISECOND, CAST(n AS INT), jk_time) END AS jk_time",
+        f"* EXCEPT (n, jk_time, {P_ALARM_ID})",
+    ).repartition(8, P_ALARM_ID).write.parquet(f"{tmp_path}/p")
+    p = spark.read.parquet(f"{tmp_path}/p")
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        many = Evaluation(key, p, event_tables.s_alarms(spark, SF), Sizing(broadcast_waves=0))
+        profile = many.profile
+        firsts = [First("first", ("sta_code",))]
+        first_pass = _earliest(many.windows, p, firsts, profile, None)
+        text = plan(first_pass)
+        # Read from the scan upwards: merged per instant, shuffled, merged again, then probed.
+        assert re.search(r"HashAggregate\(keys=\[jk_time[^\n]*\n[^\n]*Exchange hashpartitioning\(jk_time", text)
+        second = match_windows(many.windows, p, P_ALARM_ID, firsts, profile)
+        found = sorted(map(str, second.collect()))
+        assert "SortMergeJoin(skew=true)" in plan(second)
+        few = Evaluation(key, p, event_tables.s_alarms(spark, SF))
+        expected = match_windows(few.windows, p, P_ALARM_ID, firsts, few.profile)
+        assert found == sorted(map(str, expected.collect()))
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def test_first_pass_reads_two_columns_and_second_pass_the_rest(spark, logs):
@@ -108,10 +148,17 @@ def test_by_id_merges_before_it_shuffles(spark, logs):
     assert text.count("Exchange") == 1 and "partial_min" in text
 
 
+def test_windows_of_a_small_key_take_one_shuffle_of_it(spark, logs):
+    run = evaluation(spark, logs)
+    text = plan(add_windows(run.key, run._bounds))
+    assert text.count("Exchange hashpartitioning(_day") == 2  # the key, and the days' heads
+    assert "SortMergeJoin" not in text
+
+
 def test_only_day_heads_come_together_in_one_partition(spark, logs):
-    for waves in (500_000, 0):
-        run = evaluation(spark, logs, broadcast_waves=waves)
-        text = plan(add_windows(run.key, run.profile))
+    run = evaluation(spark, logs)
+    for frame in (add_windows(run.key, run._bounds), following_instants(run.key)):
+        text = plan(frame)
         assert "Exchange SinglePartition" in text
         for single in re.split(r"Exchange SinglePartition", text)[1:]:
             below = single.split("Exchange")[0]

@@ -48,7 +48,7 @@ def test_shuffled_plan_equals_twin(spark, twin, name):
         event_tables.answer_key(spark, SF),
         event_tables.p_alarms(spark, SF),
         event_tables.s_alarms(spark, SF),
-        Sizing(broadcast_waves=0, salts=4),
+        Sizing(broadcast_waves=0),
     )
     same(registry._plain(getattr(run, name)()), twin, name)
 

@@ -14,6 +14,7 @@ from tremorgrade.functions import haversine_km, rounded, seconds_between
 from tremorgrade.operators.match import WINDOW, First, match_windows
 from tremorgrade.operators.sizing import KeyProfile, attach
 from tremorgrade.schema import P_ALARM_ID, S_ALARM_ID
+from tremorgrade.session import computed_once
 
 # A wave counts for S alarms from this true peak (gal) on, and
 # these are the alarm levels (gal).
@@ -61,7 +62,7 @@ def grade_p(windows: DataFrame, p_alarms: DataFrame, profile: KeyProfile) -> Dat
         "first.device_code AS p_device_code",
         *_named({name: rounded(f"first.{name}", 3) for name in _P_VALUES}),
     )
-    return attach(windows, picked, WINDOW, "id", profile).selectExpr("*", *_p_measures())
+    return attach(windows, _lookup(picked, profile), WINDOW, profile).selectExpr("*", *_p_measures())
 
 
 def grade_s(
@@ -99,13 +100,18 @@ def grade_s(
     # A weak wave may share its window with a strong one: it still has no S alarm.
     own = {name: f"CASE WHEN s_eligible THEN {name} END" for name in alarm}
     return (
-        attach(waves, picked, WINDOW, "id", profile)
+        attach(waves, _lookup(picked, profile), WINDOW, profile)
         .withColumn("s_eligible", F.expr(f"coalesce({_ELIGIBLE}, false)"))
         .selectExpr(*waves.columns, "s_eligible", *_named(own))
         .selectExpr("*", *_s_measures())
     )
 
 
+def _lookup(picked: DataFrame, profile: KeyProfile) -> DataFrame:
+    """Matched values as ``attach`` wants them: stored, unless they are broadcast."""
+    return picked if profile.small else computed_once(picked)
+
+
 def _p_measures() -> list[str]:
     measures = {
         "p_warning_miss": _miss_flag("p_first_jk_time"),

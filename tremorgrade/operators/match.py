@@ -11,11 +11,17 @@ of them: no cell pairs many windows with many alarms, however uneven the
 timetable. An alarm looks into one cell per cell size in use, usually two or
 three.
 
-The alarm log is read twice, and sorted never. The first pass reads only the
-time and the graded value and keeps, per window, the earliest instants and the
-peak: plain numbers, which aggregate in hash tables before any shuffle. The
-second pass fetches the rest of the row, and breaks ties by alarm id, for those
-instants only.
+The alarm log is read twice. The first pass reads only the time and the graded
+value and keeps, per window, the earliest instants and the peak: plain numbers,
+which aggregate in hash tables before any shuffle. The second pass fetches the
+rest of the row, and breaks ties by alarm id, for those instants only; so only
+these few rows are ever sorted.
+
+With few waves the log is probed where it lies. With many it is shuffled, but
+first merged to one row per instant, which is all the first pass needs: an
+instant with a third of all alarms is one row. What is still hot, a cell with
+many instants or the rows of a wanted instant, Spark measures and splits: both
+sides of these joins come straight from a shuffle.
 """
 
 from __future__ import annotations
@@ -26,7 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tremorgrade.functions import micros
-from tremorgrade.operators.sizing import KeyProfile, salted
+from tremorgrade.operators.sizing import KeyProfile
+from tremorgrade.session import computed_once
 
 WINDOW = ["send_time", "next_send_time"]
 
@@ -61,20 +68,29 @@ def match_windows(
     in_range = alarms.where(
         f"jk_time BETWEEN {_instant(profile.first)} AND {_instant(profile.last)}"
     )
-    earliest = _earliest(windows, in_range, alarm_id, firsts, profile, value)
+    earliest = _earliest(windows, in_range, firsts, profile, value)
     return _fetch(earliest, in_range, alarm_id, firsts, profile, value)
 
 
-def _earliest(windows, alarms, alarm_id, firsts, profile, value) -> DataFrame:
+def cell_sizes():
+    """Aggregate over windows: a bit for each cell size they need."""
+    used = f"CASE WHEN next_send_time >= send_time THEN shiftleft(1, {_size(_length())}) END"
+    return F.expr(f"coalesce(bit_or({used}), 0)")
+
+
+def _earliest(windows, alarms, firsts, profile, value) -> DataFrame:
     """First pass: per window the wanted instants and the peak."""
-    cells, sizes = _window_cells(windows)
-    kept = [alarm_id, "jk_time", *([value] if value else [])]
-    probes = (
-        # The few cell sizes in use, found once and shared by all tasks.
-        alarms.select(*kept, F.explode(sizes.scalar()).alias("_size"))
-        .selectExpr(*kept, f"{_cell_id(_cell(micros('jk_time')))} AS _cell")
+    if not profile.small:
+        alarms = _per_instant(alarms, value)
+    kept = ["jk_time", *([value] if value else [])]
+    used = profile.cell_sizes
+    if used is None:
+        used = windows.select(cell_sizes()).first()[0]
+    sizes = ", ".join(str(n) for n in range(_LARGEST + 1) if used >> n & 1) or "NULL"
+    probes = alarms.selectExpr(*kept, f"explode(array({sizes})) AS _size").selectExpr(
+        *kept, f"{_cell_id(_cell(micros('jk_time')))} AS _cell"
     )
-    met = _join(probes, cells, "_cell", alarm_id, profile).where(
+    met = _join(probes, _window_cells(windows), "_cell", profile).where(
         "jk_time BETWEEN send_time AND next_send_time"
     )
     aggregates = [F.expr(f"min(jk_time) {_reached(f, value)} AS {f.name}") for f in firsts]
@@ -83,6 +99,13 @@ def _earliest(windows, alarms, alarm_id, firsts, profile, value) -> DataFrame:
     return met.groupBy(*WINDOW).agg(*aggregates)
 
 
+def _per_instant(alarms: DataFrame, value: str | None) -> DataFrame:
+    """The log merged per instant, before its shuffle already: the peak tells which levels
+    are reached."""
+    instants = alarms.groupBy("jk_time")
+    return instants.agg(F.max(value).alias(value)) if value else instants.agg(F.lit(1)).select("jk_time")
+
+
 def _fetch(earliest, alarms, alarm_id, firsts, profile, value) -> DataFrame:
     """Second pass: the alarm rows at the wanted instants, smallest id first."""
     kept = [*WINDOW, *(["peak"] if value else [])]
@@ -92,7 +115,7 @@ def _fetch(earliest, alarms, alarm_id, firsts, profile, value) -> DataFrame:
 
     needed = {c for f in firsts for c in f.columns} | ({value} if value else set())
     rows = alarms.select("jk_time", alarm_id, *sorted(needed))
-    found = _join(rows, wanted, "jk_time", alarm_id, profile)
+    found = _join(rows, wanted if profile.small else computed_once(wanted), "jk_time", profile)
     aggregates = []
     for f in firsts:
         row = ", ".join(["jk_time", alarm_id, *f.columns])
@@ -103,19 +126,21 @@ def _fetch(earliest, alarms, alarm_id, firsts, profile, value) -> DataFrame:
     return found.groupBy(*WINDOW).agg(*aggregates)
 
 
-def _window_cells(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Each distinct window in its one or two cells, and the sizes in use."""
-    length = f"{micros('next_send_time')} - {micros('send_time')}"
-    spans = windows.where("next_send_time >= send_time").select(*WINDOW)
-    sizes = spans.select(F.expr(f"collect_set({_size(length)})"))
+def _window_cells(windows: DataFrame) -> DataFrame:
+    """Each distinct window in its one or two cells."""
     first, last = _cell(micros("send_time")), _cell(micros("next_send_time"))
-    cells = (
-        spans.distinct()
-        .selectExpr(*WINDOW, f"{_size(length)} AS _size")
+    return (
+        windows.where("next_send_time >= send_time")
+        .select(*WINDOW)
+        .distinct()
+        .selectExpr(*WINDOW, f"{_size(_length())} AS _size")
         .selectExpr(*WINDOW, "_size", f"explode(sequence({first}, {last})) AS _at")
         .selectExpr(*WINDOW, f"{_cell_id('_at')} AS _cell")
     )
-    return cells, sizes
+
+
+def _length() -> str:
+    return f"{micros('next_send_time')} - {micros('send_time')}"
 
 
 def _size(length: str) -> str:
@@ -140,12 +165,9 @@ def _reached(first: First, value: str | None) -> str:
     return f"FILTER (WHERE {value} >= {first.level})" if first.level else ""
 
 
-def _join(alarms, lookup, on, alarm_id, profile) -> DataFrame:
+def _join(alarms, lookup, on, profile) -> DataFrame:
     """Join the log to a key-sized frame without moving the log if that is safe."""
-    if profile.small:
-        return alarms.join(F.broadcast(lookup), on)
-    alarms, lookup = salted(alarms, lookup, alarm_id, profile.sizing.salts)
-    return alarms.join(lookup, [on, "_salt"])
+    return alarms.join(F.broadcast(lookup) if profile.small else lookup, on)
 
 
 def _instant(at) -> str:

@@ -21,20 +21,22 @@ class Sizing:
     ``broadcast_waves``: waves up to which key-sized frames are broadcast. Per
     wave these are at most two cells (24 bytes), three wanted instants (40
     bytes) and one row of matched values (about 300 bytes), so the default
-    stays under about 350 MB, hash tables included.
-    ``salts``: ways in which one hot key is split beyond that size.
+    stays under about 350 MB, hash tables included. Beyond it Spark splits what a hot key
+    makes too large, by the sizes it measures.
     """
 
     broadcast_waves: int = 500_000
-    salts: int = 16
 
 
 @dataclass(frozen=True)
 class KeyProfile:
+    """``cell_sizes``: a bit for each size the windows need (see ``match``), if known yet."""
+
     waves: int
     first: datetime | None
     last: datetime | None
     sizing: Sizing
+    cell_sizes: int | None = None
 
     @property
     def small(self) -> bool:
@@ -51,29 +53,11 @@ def profile_key(key: DataFrame, sizing: Sizing = Sizing()) -> KeyProfile:
     return KeyProfile(row.waves, row.first, row.last, sizing)
 
 
-def attach(
-    rows: DataFrame,
-    lookup: DataFrame,
-    on: list[str],
-    salt_by: str,
-    profile: KeyProfile,
-) -> DataFrame:
+def attach(rows: DataFrame, lookup: DataFrame, on: list[str], profile: KeyProfile) -> DataFrame:
     """Left join ``lookup``, unique on ``on``, to ``rows``.
 
-    Beyond the broadcast size a key that most rows share is spread over
-    ``salts`` tasks; the lookup side, one row per key, is copied to each.
+    Beyond the broadcast size both sides are shuffled. If ``lookup`` is a stored table, both
+    come straight from their shuffle, so Spark measures the partitions and splits those that
+    a key shared by many rows makes too large.
     """
-    if profile.small:
-        return rows.join(F.broadcast(lookup), on, "left")
-    rows, lookup = salted(rows, lookup, salt_by, profile.sizing.salts)
-    return rows.join(lookup, [*on, "_salt"], "left").drop("_salt")
-
-
-def salted(
-    rows: DataFrame, lookup: DataFrame, salt_by: str, salts: int
-) -> tuple[DataFrame, DataFrame]:
-    """Add a ``_salt`` column to both sides so each row meets each lookup once."""
-    return (
-        rows.withColumn("_salt", F.expr(f"CAST(pmod(xxhash64({salt_by}), {salts}) AS INT)")),
-        lookup.withColumn("_salt", F.expr(f"explode(sequence(0, {salts - 1}))")),
-    )
+    return rows.join(F.broadcast(lookup) if profile.small else lookup, on, "left")

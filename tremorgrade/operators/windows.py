@@ -11,16 +11,53 @@ from pyspark.sql import functions as F
 
 from tremorgrade.functions import micros
 from tremorgrade.operators.sizing import KeyProfile, attach
+from tremorgrade.session import computed_once
 
 
 def add_windows(key: DataFrame, profile: KeyProfile) -> DataFrame:
     """Add ``next_send_time``; waves sent at one instant follow each other by id.
 
     Waves that also share the greatest id of their instant end alike, at the next
-    one. A lead over the whole timetable would sort every row in one task, so it
-    is taken over distinct instants, in buckets of time whose heads carry it across.
-    Ties are collapsed first, so a bucket of one second holds at most a million
-    instants and a day at most 86,400 seconds, however the waves are spread.
+    one. A lead over the whole timetable would sort every row in one task, so it is taken
+    inside buckets of time whose heads carry it across.
+    """
+    return _inside_days(key) if profile.small else _over_instants(key, profile)
+
+
+def _inside_days(key: DataFrame) -> DataFrame:
+    """Waves sorted inside their days: one shuffle of the key, no join but to the days' heads.
+
+    A day may hold any share of the waves, so this is for keys whose size is checked.
+    """
+    by_day = key.select("*", F.to_date("send_time").alias("_day"))
+    days = by_day.groupBy("_day").agg(F.min("send_time").alias("_head"))
+    # One partitioning for all three, and one sort. Only the first wave of an instant has a
+    # mark, so the next mark is a later instant.
+    in_day = "OVER (PARTITION BY _day ORDER BY send_time, id)"
+    of_instant = "OVER (PARTITION BY _day ORDER BY send_time RANGE BETWEEN CURRENT ROW AND CURRENT ROW)"
+    marked = by_day.select(
+        "*",
+        F.expr(f"CASE WHEN NOT lag(send_time) {in_day} <=> send_time THEN send_time END AS _mark"),
+        F.expr(f"max(id) {of_instant} AS _last_id"),
+    )
+    following = marked.withColumn("_in_day", F.expr(f"lead(_mark) IGNORE NULLS {in_day}"))
+    # At most a row per wave, and far fewer: the calendar days with a wave.
+    heads = _next_heads(days).select("_day", "_next_head")
+    return _ended(following.join(F.broadcast(heads), "_day", "left"), key, F.coalesce("_in_day", "_next_head"))
+
+
+def _over_instants(key: DataFrame, profile: KeyProfile) -> DataFrame:
+    # Stored, so that both sides of the join come straight from a shuffle and Spark can
+    # split an instant that many waves share.
+    following = computed_once(following_instants(key))
+    return _ended(attach(key, following, ["send_time"], profile), key, F.col("_following"))
+
+
+def following_instants(key: DataFrame) -> DataFrame:
+    """Every instant with its greatest id and the instant after it.
+
+    Leads over distinct instants, inside seconds, then days: however the waves are spread,
+    a second holds at most a million instants and a day at most 86,400 seconds.
     """
     instants = (
         key.where("send_time IS NOT NULL")
@@ -39,16 +76,19 @@ def add_windows(key: DataFrame, profile: KeyProfile) -> DataFrame:
         .select("_second", F.coalesce("_in_day", "_next_head").alias("_next_second"))
     )
     in_second = Window.partitionBy("_second").orderBy("send_time")
-    following = (
+    return (
         instants.withColumn("_in_second", F.lead("send_time").over(in_second))
         .join(seconds, "_second")
         .select("send_time", "_last_id", F.coalesce("_in_second", "_next_second").alias("_following"))
     )
-    # All but the last of the waves sent at one instant end where they start.
+
+
+def _ended(rows: DataFrame, key: DataFrame, following) -> DataFrame:
+    """All but the last of the waves sent at one instant end where they start."""
     ends = F.when(F.col("id") < F.col("_last_id"), F.col("send_time"))
-    return attach(key, following, ["send_time"], "id", profile).select(
+    return rows.select(
         *[F.col(f"`{name}`") for name in key.columns],
-        F.coalesce(ends, "_following", "end_time").alias("next_send_time"),
+        F.coalesce(ends, following, F.col("end_time")).alias("next_send_time"),
     )
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 
 from tremorgrade.operators import by_id, grade
+from tremorgrade.operators.match import cell_sizes
 from tremorgrade.operators.sizing import KeyProfile, Sizing, profile_key
 from tremorgrade.operators.windows import add_windows
 from tremorgrade.plans import details as report
@@ -19,9 +21,10 @@ _BY_NAME = {k.name: k for k in (*kpis.KPIS, *kpis.TIMED_KPIS)}
 class Evaluation:
     """Tables over one answer key and its P and S alarm logs.
 
-    All tables are lazy. The first one that needs the windows counts the waves,
-    which decides between the broadcast and the shuffled plans, and computes the
-    windows once, as every match starts from them.
+    Tables are lazy but for what is stored on the way. The first one that needs the
+    windows counts the waves, which decides between the broadcast and the shuffled plans,
+    and computes the windows once, as every match starts from them. The shuffled plans also
+    store the instants wanted and the values matched, key-sized frames that joins then read.
     """
 
     def __init__(
@@ -37,13 +40,24 @@ class Evaluation:
         self.sizing = sizing
 
     @cached_property
-    def profile(self) -> KeyProfile:
+    def _bounds(self) -> KeyProfile:
         return profile_key(self.key, self.sizing)
 
     @cached_property
     def windows(self) -> DataFrame:
         """The key with ``next_send_time``."""
-        return computed_once(add_windows(self.key, self.profile))
+        return computed_once(add_windows(self.key, self._bounds).observe(self._seen, cell_sizes().alias("sizes")))
+
+    @cached_property
+    def _seen(self) -> Observation:
+        """What is seen of the windows while they are written."""
+        return Observation()
+
+    @cached_property
+    def profile(self) -> KeyProfile:
+        """What is known about the key and its windows."""
+        self.windows  # noqa: B018
+        return replace(self._bounds, cell_sizes=self._seen.get["sizes"] or 0)
 
     @cached_property
     def graded_p(self) -> DataFrame:
