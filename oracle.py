@@ -6,6 +6,8 @@ matches by ranking all alarms of a window, means from whole milliseconds.
 
 from __future__ import annotations
 
+from tremorgrade.labels import DETAIL_COLUMNS_ZH
+
 RANGE = ("2024-01-08 06:00:00.000", "2024-01-21 18:00:00.000")
 
 # --- inputs ---------------------------------------------------------------
@@ -485,6 +487,18 @@ def _loaded_columns():
 # --- registry ----------------------------------------------------------------
 
 
+_KPI_ZH = {
+    "total": "总数", "pass_count": "合格数", "pass_rate": "合格率", "standard": "标准",
+    "max_value": "最大值", "min_value": "最小值", "avg_value": "平均值",
+}
+
+
+def _kpi_in_chinese(row: str, item: str) -> str:
+    names = ", ".join(f'{name} AS "{zh}"' for name, zh in _KPI_ZH.items())
+    verdict = "CASE verdict WHEN 'yes' THEN '是' WHEN 'no' THEN '否' ELSE verdict END"
+    return f"""SELECT '{item}' AS "项目", {names}, {verdict} AS "是否达标" FROM ({row})"""
+
+
 def statements() -> dict[str, str]:
     keyed = f"WITH {_KEY}"
     alarms = f"WITH {_KEY}, {_ALARMS}"
@@ -534,4 +548,12 @@ def statements() -> dict[str, str]:
         found[name] = f"{both} {_kpi_row(source, fields)}"
     for name, (source, fields) in TIMED_KPIS.items():
         found[name] = f"{by_id} {_kpi_row(source, fields)}"
+    named = ", ".join(f'{name} AS "{zh}"' for name, zh in DETAIL_COLUMNS_ZH.items())
+    found["details_zh"] = f"{both} SELECT id, {named} FROM ({_DETAILS})"
+    found["kpi_p_send_zh"] = f"{both} " + _kpi_in_chinese(
+        _kpi_row(*KPIS["kpi_p_send"]), "P波预警传输时间统计≤0.1s"
+    )
+    found["tkpi_s40_send_zh"] = f"{by_id} " + _kpi_in_chinese(
+        _kpi_row(*TIMED_KPIS["tkpi_s40_send"]), "阈值报警传输时延≤0.1s(40gal)"
+    )
     return found

@@ -1,10 +1,13 @@
+import os
+
 import pytest
 from conftest import P_ALARMS, S_ALARMS, WAVES, at, make_key, make_p, make_s
 from tremorgrade import Evaluation
-from tremorgrade.labels import DETAIL_COLUMNS_ZH, details_zh
+from tremorgrade.labels import DETAIL_COLUMNS_ZH, details_zh, in_chinese
 from tremorgrade.plans.details import DETAIL_COLUMNS
 from tremorgrade.plans.kpi import KPIS, TIMED_KPIS, Kpi, Share
 from tremorgrade.sinks import writers
+from tremorgrade.sinks.folders import Staging
 from tremorgrade.sources import alarms
 
 
@@ -43,17 +46,68 @@ def test_write_scorecard(spark, tmp_path):
 
 
 def test_a_failing_kpi_holds_no_other_up_and_is_named(spark, tmp_path, monkeypatch):
-    real = writers._write
+    real = Staging.write
 
-    def fails_once(rows, path, fmt):
-        if path.endswith("kpi_p_judge"):
+    def fails_once(self, name, rows, fmt="parquet"):
+        if name == "kpi_p_judge":
             raise RuntimeError("disk full")
-        real(rows, path, fmt)
+        real(self, name, rows, fmt)
 
-    monkeypatch.setattr(writers, "_write", fails_once)
+    monkeypatch.setattr(Staging, "write", fails_once)
     with pytest.raises(writers.NotAllWritten, match="kpi_p_judge") as error:
         writers.write_scorecard(evaluation(spark), str(tmp_path))
     assert list(error.value.failed) == ["kpi_p_judge"] and len(error.value.written) == len(KPIS)
+    assert sorted(os.listdir(tmp_path)) == sorted(error.value.written)
+
+
+RANGE = at("10:00:00"), at("11:00:00")
+
+
+def test_all_tables_read_stored_frames(spark, tmp_path):
+    """Three scans a log for all 29 tables: two of the match, one by event id."""
+    for name, rows in (("p", make_p(spark, P_ALARMS)), ("s", make_s(spark, S_ALARMS))):
+        rows.write.parquet(f"{tmp_path}/log-{name}")
+    logs = [spark.read.parquet(f"{tmp_path}/log-{name}") for name in "ps"]
+    run = Evaluation(make_key(spark, WAVES), *logs)
+    stored = run.stored()
+    tables = stored.tables(*RANGE)
+    assert len(tables) == 29 and "scorecard" in tables
+    for name, rows in tables.items():
+        assert not any("/log-" in file for file in rows.inputFiles()), name
+    shared = [run.graded, run.p_by_id(), run.s_by_id()]
+    plans = "".join(rows._jdf.queryExecution().executedPlan().toString() for rows in shared)
+    assert plans.count("/log-p") == 3 and plans.count("/log-s") == 3
+    for name, rows in run.tables(*RANGE).items():
+        assert sorted(map(repr, rows.collect())) == sorted(map(repr, tables[name].collect())), name
+
+
+def test_save_tables(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE graded LOCATION '{tmp_path}/db'")
+    try:
+        run = evaluation(spark)
+        names = writers.save_tables(run, "graded", *RANGE, labels=in_chinese)
+        assert len(names) == 29
+        assert spark.table("graded.kpi_p_send").first()["合格率"] == "33.33%"
+        assert spark.table("graded.p_by_id_in_range").count() == 2
+        writers.save_tables(run, "graded")
+        assert spark.table("graded.kpi_p_send").first().pass_rate == "33.33%"
+    finally:
+        spark.sql("DROP DATABASE graded CASCADE")
+
+
+def test_sinks_under_the_labels_of_their_readers(spark, tmp_path):
+    run = evaluation(spark)
+    writers.write_tables(run, f"{tmp_path}/all", start=RANGE[0], end=RANGE[1], labels=in_chinese)
+    names = {t: set(spark.read.parquet(f"{tmp_path}/all/{t}").columns) for t in ("details", "tkpi_s80_send", "p_compare")}
+    assert set(DETAIL_COLUMNS_ZH.values()) < names["details"]
+    assert {"项目", "是否达标"} < names["tkpi_s80_send"] and "magnitude_diff" in names["p_compare"]
+    writers.write_scorecard(run, f"{tmp_path}/card", "csv", labels=in_chinese)
+    card = spark.read.option("header", True).csv(f"{tmp_path}/card/kpi_s_peak")
+    assert card.first()["项目"] == "阈值报警最大偏差≤5%"
+    writers.write_details(run, f"{tmp_path}/details", "csv", labels=in_chinese)
+    details = spark.read.option("header", True).csv(f"{tmp_path}/details")
+    assert details.columns == list(DETAIL_COLUMNS_ZH.values())
+    assert details.first()["波形发送时间"] == "2024-01-01 10:00:00"
 
 
 def test_write_details_as_text(spark, tmp_path):
@@ -67,7 +121,7 @@ def test_write_details_as_text(spark, tmp_path):
 def test_write_tables(spark, tmp_path):
     run = evaluation(spark)
     names = writers.write_tables(run, str(tmp_path))
-    assert len(names) == 6 + len(KPIS)
+    assert len(names) == 7 + len(KPIS)
     for name, table in (("p_compare", run.p_compare()), ("s_matched", run.s_matched())):
         assert spark.read.parquet(f"{tmp_path}/{name}").collect() == table.orderBy("id").collect()
     # Writing again replaces.

@@ -5,6 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from tremorgrade.plans.kpi import KPIS, TIMED_KPIS
+
+_ITEMS = {kpi.name: kpi.item for kpi in (*KPIS, *TIMED_KPIS)}
+
 # Verdicts.
 VERDICTS_ZH = {"yes": "是", "no": "否"}
 
@@ -103,6 +107,15 @@ DETAIL_COLUMNS_ZH = {
 }
 
 
+def in_chinese(name: str, rows: DataFrame) -> DataFrame:
+    """The table of this name as its readers know it; tables that are no report stay."""
+    if name == "details":
+        return details_zh(rows)
+    if name in _ITEMS:
+        return kpi_zh(rows, _ITEMS[name])
+    return rows
+
+
 def details_zh(details: DataFrame) -> DataFrame:
     """The detail report under its Chinese column names."""
     return details.withColumnsRenamed(DETAIL_COLUMNS_ZH)

@@ -122,6 +122,103 @@ class Evaluation:
         """The one-row table of one of the four KPIs on a time range."""
         return timed_kpi(name, self.p_alarms, self.s_alarms, start, end)
 
+    def tables(self, start=None, end=None) -> dict[str, DataFrame]:
+        """Every table by name; those by event id and on a time range only with a range."""
+        found = {
+            "answer_key": self.answer_key(),
+            "p_matched": self.p_matched(),
+            "p_compare": self.p_compare(),
+            "s_matched": self.s_matched(),
+            "s_compare": self.s_compare(),
+            "details": self.details(),
+            **self.kpi_tables(),
+        }
+        return found if start is None else found | self.timed_tables(start, end)
+
+    def kpi_tables(self) -> dict[str, DataFrame]:
+        """The fourteen KPIs and the scorecard, from one row of totals."""
+        totals = self.totals()
+        found = {k.name: kpis.kpi_row(totals, k) for k in kpis.KPIS}
+        return found | {"scorecard": kpis.scorecard(totals, kpis.KPIS)}
+
+    def timed_tables(self, start, end) -> dict[str, DataFrame]:
+        return {
+            "p_by_id": self.p_by_id(),
+            "s_by_id": self.s_by_id(),
+            "p_by_id_in_range": self.p_by_id_in_range(start, end),
+            "s_by_id_in_range": self.s_by_id_in_range(start, end),
+            **{k.name: self.timed_kpi(k.name, start, end) for k in kpis.TIMED_KPIS},
+        }
+
+    def stored(self) -> Evaluation:
+        """The same tables for whoever wants many of them: all read stored frames."""
+        return StoredEvaluation(self)
+
+
+class StoredEvaluation(Evaluation):
+    """An evaluation whose tables read three stored frames instead of the logs.
+
+    The waves graded for both kinds of alarms, and the first reports per event id of either
+    kind, are each computed when a table first needs them and written to the shared folder.
+    A log is read three times for all tables together: twice by its match, once by event id.
+    """
+
+    def __init__(self, of: Evaluation):
+        super().__init__(of.key, of.p_alarms, of.s_alarms, of.sizing)
+        self.of = of
+
+    @cached_property
+    def windows(self) -> DataFrame:
+        return self.of.windows
+
+    @cached_property
+    def profile(self) -> KeyProfile:
+        return self.of.profile
+
+    @cached_property
+    def graded(self) -> DataFrame:
+        return computed_once(self.of.graded)
+
+    @property
+    def graded_p(self) -> DataFrame:
+        return self.graded
+
+    @property
+    def graded_s(self) -> DataFrame:
+        return self.graded.where("s_eligible")
+
+    @cached_property
+    def _totals(self) -> DataFrame:
+        return computed_once(super().totals())
+
+    def totals(self) -> DataFrame:
+        return self._totals
+
+    @cached_property
+    def _p_by_id(self) -> DataFrame:
+        return computed_once(self.of.p_by_id())
+
+    @cached_property
+    def _s_by_id(self) -> DataFrame:
+        return computed_once(self.of.s_by_id())
+
+    def p_by_id(self) -> DataFrame:
+        return self._p_by_id
+
+    def s_by_id(self) -> DataFrame:
+        return self._s_by_id
+
+    def p_by_id_in_range(self, start, end) -> DataFrame:
+        return by_id.in_range(self._p_by_id, start, end)
+
+    def s_by_id_in_range(self, start, end) -> DataFrame:
+        return by_id.in_range(self._s_by_id, start, end)
+
+    def timed_kpi(self, name: str, start, end) -> DataFrame:
+        kpi = _BY_NAME[name]
+        reports = self._p_by_id if kpi.on == "p_by_id" else self._s_by_id
+        return kpis.run_kpi(by_id.in_range(reports, start, end), kpi)
+
 
 def timed_kpi(name: str, p_alarms: DataFrame, s_alarms: DataFrame, start, end) -> DataFrame:
     """A KPI on the first reports per event id; needs no answer key."""

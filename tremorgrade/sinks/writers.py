@@ -1,85 +1,92 @@
-"""Write reports and tables. Sorting happens here and nowhere else."""
+"""Write reports and tables. Sorting happens here and nowhere else.
+
+Every sink takes ``labels``, a function of a table's name and rows that gives the rows under
+the names their readers know, such as ``tremorgrade.labels.in_chinese``.
+"""
 
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tremorgrade.plans import kpi as kpis
-from tremorgrade.plans.details import details
 from tremorgrade.plans.evaluation import Evaluation
-from tremorgrade.operators import grade
+from tremorgrade.sinks.folders import Staging
 
 log = logging.getLogger(__name__)
 
+Labels = Callable[[str, DataFrame], DataFrame]
+
 
 def times_as_text(rows: DataFrame) -> DataFrame:
     """Timestamps as text to the second, for people and spreadsheets."""
-    return rows.selectExpr(
-        *[
-            f"date_format({f.name}, 'yyyy-MM-dd HH:mm:ss') AS {f.name}"
-            if isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType))
-            else f.name
-            for f in rows.schema
-        ]
-    )
-
-
-def write_scorecard(evaluation: Evaluation, path: str, fmt: str = "parquet") -> list[str]:
+    columns = []
+    for field in rows.schema:
+        name = f"`{field.name.replace('`', '``')}`"
+        if isinstance(field.dataType, (T.TimestampNTZType, T.TimestampType)):
+            columns.append(f"date_format({name}, 'yyyy-MM-dd HH:mm:ss') AS {name}")
+        else:
+            columns.append(name)
+    return rows.selectExpr(*columns)
+
+
+def write_scorecard(
+    evaluation: Evaluation, path: str, fmt: str = "parquet", labels: Labels | None = None
+) -> list[str]:
     """One directory per KPI and one long ``scorecard``; returns the names written.
 
     The totals are computed once. A KPI that fails holds no other up; all that failed
     are named in the error raised at the end.
     """
-    totals = evaluation.totals().persist()
-    try:
-        tables = {k.name: kpis.kpi_row(totals, k) for k in kpis.KPIS}
-        tables["scorecard"] = kpis.scorecard(totals, kpis.KPIS)
-        return _write_all(tables, path, fmt)
-    finally:
-        totals.unpersist()
+    return _write_all(evaluation.stored().kpi_tables(), path, fmt, labels)
 
 
-def write_details(evaluation: Evaluation, path: str, fmt: str = "parquet") -> None:
+def write_details(
+    evaluation: Evaluation, path: str, fmt: str = "parquet", labels: Labels | None = None
+) -> None:
     """The wide report, sorted by wave; text formats get readable times."""
     rows = evaluation.details().orderBy("id").drop("id")
     if fmt == "csv":
         rows = times_as_text(rows)
-    _write(rows, path, fmt)
+    _writer(labels("details", rows) if labels else rows, fmt).mode("overwrite").save(path)
 
 
-def write_tables(evaluation: Evaluation, path: str, fmt: str = "parquet") -> list[str]:
-    """Every per-wave and KPI table under one path, from one graded frame."""
-    graded = evaluation.graded.persist()
-    try:
-        tables = {
-            "answer_key": evaluation.answer_key(),
-            "p_matched": grade.p_matched(graded),
-            "p_compare": grade.p_compare(graded),
-            "s_matched": grade.s_matched(graded),
-            "s_compare": grade.s_compare(graded),
-            "details": details(graded),
-        }
-        tables = {name: rows.orderBy("id") for name, rows in tables.items()}
-        totals = kpis.aggregate_kpis(graded, kpis.KPIS)
-        tables |= {k.name: kpis.kpi_row(totals, k) for k in kpis.KPIS}
-        return _write_all(tables, path, fmt)
-    finally:
-        graded.unpersist()
+def write_tables(
+    evaluation: Evaluation,
+    path: str,
+    fmt: str = "parquet",
+    start=None,
+    end=None,
+    labels: Labels | None = None,
+) -> list[str]:
+    """Every table under one path, from one graded frame; with a time range those by event
+    id and on the range too. Readers see all of them change at once, at the end."""
+    return _write_all(evaluation.stored().tables(start, end), path, fmt, labels)
 
 
-def write_timed(evaluation: Evaluation, start, end, path: str, fmt: str = "parquet") -> list[str]:
+def write_timed(
+    evaluation: Evaluation, start, end, path: str, fmt: str = "parquet", labels: Labels | None = None
+) -> list[str]:
     """The by-id tables, their cut by time, and the four KPIs on the cut."""
-    tables = {
-        "p_by_id": evaluation.p_by_id(),
-        "s_by_id": evaluation.s_by_id(),
-        "p_by_id_in_range": evaluation.p_by_id_in_range(start, end),
-        "s_by_id_in_range": evaluation.s_by_id_in_range(start, end),
-        **{k.name: evaluation.timed_kpi(k.name, start, end) for k in kpis.TIMED_KPIS},
-    }
-    return _write_all(tables, path, fmt)
+    return _write_all(evaluation.stored().timed_tables(start, end), path, fmt, labels)
+
+
+def save_tables(
+    evaluation: Evaluation, database: str, start=None, end=None, labels: Labels | None = None
+) -> list[str]:
+    """Every table as a table of ``database``, in place of those of before.
+
+    What all of them read is computed before the first is replaced.
+    """
+    stored = evaluation.stored()
+    tables = stored.tables(start, end)
+    return _each(
+        tables,
+        lambda name, rows: rows.write.mode("overwrite").saveAsTable(f"{database}.{name}"),
+        labels,
+    )
 
 
 class NotAllWritten(RuntimeError):
@@ -90,12 +97,22 @@ class NotAllWritten(RuntimeError):
         self.failed, self.written = failed, written
 
 
-def _write_all(tables: dict[str, DataFrame], path: str, fmt: str) -> list[str]:
+def _write_all(tables: dict[str, DataFrame], path: str, fmt: str, labels: Labels | None) -> list[str]:
+    """All into a staging folder, then those that succeeded into place."""
+    staging = Staging(next(iter(tables.values())).sparkSession, path)
+    try:
+        return _each(tables, lambda name, rows: staging.write(name, rows, fmt), labels)
+    finally:
+        staging.swap()
+
+
+def _each(tables: dict[str, DataFrame], write: Callable, labels: Labels | None) -> list[str]:
     written: list[str] = []
     failed: dict[str, Exception] = {}
     for name, rows in tables.items():
         try:
-            _write(rows, f"{path}/{name}", fmt)
+            rows = rows.orderBy("id") if "id" in rows.columns else rows
+            write(name, labels(name, rows) if labels else rows)
             written.append(name)
         except Exception as error:
             log.exception("could not write %s", name)
@@ -105,8 +122,6 @@ def _write_all(tables: dict[str, DataFrame], path: str, fmt: str) -> list[str]:
     return written
 
 
-def _write(rows: DataFrame, path: str, fmt: str) -> None:
-    writer = rows.write.mode("overwrite").format(fmt)
-    if fmt == "csv":
-        writer = writer.option("header", True)
-    writer.save(path)
+def _writer(rows: DataFrame, fmt: str):
+    writer = rows.write.format(fmt)
+    return writer.option("header", True) if fmt == "csv" else writer
