@@ -242,7 +242,7 @@ def test_sketches_estimate_containment():
     assert small.containment(large) > 0.95 and abs(large.containment(small) - 0.2) < 0.03
 
 
-def test_short_near_copies_have_their_exact_likeness(spark):
+def test_short_near_copies_have_about_their_exact_likeness(spark):
     rng = random.Random(6)
     texts = []
     for n in range(6, 101):
@@ -255,12 +255,23 @@ def test_short_near_copies_have_their_exact_likeness(spark):
 
     frame = spark.createDataFrame([(len(texts) - i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: r for r in fingerprints.compare_with_next(frame.repartition(3)).collect()}
+    wrong = []
     for i, text in enumerate(texts):
         own, other = shingled(text), shingled(texts[(i + 1) % len(texts)])
         exact = len(own & other) / len(own | other)
         row = got[len(texts) - i]
-        assert row.near_next == pytest.approx(exact) and row.contained_in_next == pytest.approx(len(own & other) / len(own))
-        assert (row.near_next > 0.25) == (i % 2 == 0)
+        wrong.append(abs(row.near_next - exact))
+        assert wrong[-1] < (0.15 if len(own) > 60 else 0.35)
+        assert abs(row.contained_in_next - len(own & other) / len(own)) < (0.15 if len(own) > 60 else 0.35)
+        assert (row.near_next > 0) == (i % 2 == 0)
+    assert sum(wrong) / len(wrong) < 0.03
+
+
+def test_a_fraction_of_one_keeps_every_hash():
+    one, other = fingerprints.sketches(["a b c d e f", "a b c x e f"], 1)
+    assert (len(one.hashes), one.shared(other)) == (7, 3)
+    half = fingerprints.sketches(["a b c d e f"])[0]
+    assert set(half.hashes) < set(one.hashes)
 
 
 def test_chat_round_trip(spark):

@@ -13,15 +13,17 @@ import pyarrow.compute as pc
 _PIECE_BYTES = 3 << 20
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with some 3 MB of this text column each, or one longer row."""
+def pieces(
+    batches: Iterator[pa.RecordBatch], column: str, size: int = _PIECE_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with some `size` bytes of this text column each, or one longer row."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes, dtype=np.int64)
         start = 0
         while start < batch.num_rows:
             done = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, done + _PIECE_BYTES, side="right")))
+            stop = max(start + 1, int(np.searchsorted(ends, done + size, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
 

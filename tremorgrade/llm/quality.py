@@ -529,7 +529,8 @@ def keep_good(documents: DataFrame, models: dict[str, Model]) -> DataFrame:
     """The documents, all columns, that both targets let pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        # Small pieces: whole documents are on their way out at the same time.
+        for batch in pieces(batches, "text", 1 << 20):
             numbers, distinct = text_features(batch["text"])
             metadata = metadata_features(batch)
             good, toxic = (
