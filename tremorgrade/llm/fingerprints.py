@@ -2,10 +2,11 @@
 
 The fraction is the same for all texts, so sketches of parts merge by union, and a short
 text's sketch can be looked for in a long one's: the share found estimates the containment.
-Shingles are two and five words (A-Z lower-cased): one changed word takes all five-word
-shingles of a text of six to nine words or most of them, but at most two of two words. A
-shorter text is one shingle. A text of six words has an empty sketch in 1 of 128 cases, one
-of fifteen words in 1 of 33 million.
+Shingles are one, two and five words (A-Z lower-cased): one changed word takes all five-word
+shingles of a text of six to nine words or most of them, but at most one of one word and two
+of two. A shorter text is one shingle of five. So a text of six distinct words with one
+changed has eight shingles in common with what it was, of which none is retained in 1 of
+256 cases; estimates for texts of a few words are as coarse as their few hashes.
 
 A fingerprint is the hash of the whole text, a colon and the sketch in hex, so equal
 texts, and they alone, have equal fingerprints. Likeness is the sketches' Jaccard
@@ -30,7 +31,7 @@ from tremorgrade.llm.batches import pieces, words
 SCALE = 2
 """One in so many shingle hashes is retained."""
 _PIECE_BYTES = 1 << 20
-SHINGLES = (2, 5)
+SHINGLES = (1, 2, 5)
 
 
 class Sketch:
