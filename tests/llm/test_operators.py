@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import os
 import random
 import re
@@ -261,8 +262,10 @@ def test_short_near_copies_have_about_their_exact_likeness(spark):
         exact = len(own & other) / len(own | other)
         row = got[len(texts) - i]
         wrong.append(abs(row.near_next - exact))
-        assert wrong[-1] < (0.15 if len(own) > 60 else 0.35)
-        assert abs(row.contained_in_next - len(own & other) / len(own)) < (0.15 if len(own) > 60 else 0.35)
+        # Half of n hashes are seen: the share p found among them errs by some sqrt(p (1 - p) / n).
+        assert wrong[-1] < 4 * math.sqrt(exact * (1 - exact) / len(own | other)) + 1e-9
+        share = len(own & other) / len(own)
+        assert abs(row.contained_in_next - share) < 4 * math.sqrt(share * (1 - share) / len(own)) + 1e-9
         assert (row.near_next > 0) == (i % 2 == 0)
     assert sum(wrong) / len(wrong) < 0.03
 
