@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +28,17 @@ def pieces(
             stop = max(start + 1, int(np.searchsorted(ends, done + size, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    give_back()
+
+
+def give_back() -> None:
+    """Return memory that a task no longer needs to the system. Workers outlive their tasks and
+    share an executor, so what one keeps is missing to the others."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def as_bytes(texts: pa.Array) -> list[bytes]:

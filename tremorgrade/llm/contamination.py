@@ -25,7 +25,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremorgrade.llm.row_keys import keyed
+from tremorgrade.llm.row_keys import keyed, put_back, set_aside
 from tremorgrade.llm.store import stored
 
 #: Positions that each mask keeps, of a stretch of SPAN words.
@@ -160,8 +160,10 @@ def _short_hits(documents: DataFrame, benchmark: DataFrame, lengths: list[int],
 
 
 def find_overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, at, matched, share): for each pair the best stretch, its number of equal
-    words, their share, and the first place in the document."""
+    """(doc_id, item_id, first_word, matched, share, n_hits) for each pair that overlaps: the first
+    place in the document, the best stretch's number of equal words and their share, and at how
+    many places one stands. Rows without doc_id or item_id are not looked at. Empty tables give
+    no rows. Other columns are not read."""
     benchmark, documents = benchmark.where("item_id IS NOT NULL"), documents.where("doc_id IS NOT NULL")
     sizes = benchmark.select(F.size(_words(F.col("text"))).alias("n"))
     n_words = sizes.agg(F.sum("n")).first()[0] or 0
@@ -199,13 +201,21 @@ def find_overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no part of a benchmark item."""
-    rows = keyed(documents)
+    """The documents that hold no part of a benchmark item, all columns, whatever their names.
+
+    Rows that share a doc_id, and rows without one, are judged by their own texts. A null
+    text holds nothing; items without id or text are not looked for. An item of a few words
+    counts wherever it stands, so one of a single word takes every document with that word.
+    """
+    whole = set_aside(documents)
+    rows = keyed(whole)
     if rows is None:
-        rows = documents.withColumn("row", F.col("doc_id"))
+        rows = whole.withColumn("row", F.col("doc_id"))
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = rows.withColumn("row", F.coalesce("row", own))
     found = find_overlaps(rows.select(F.col("row").alias("doc_id"), "text"), benchmark)
     leaks = stored(found.select(F.col("doc_id").alias("row")).distinct(), "leaks")
-    return rows.join(leaks, "row", "left_anti").select(documents.columns)
+    return put_back(rows.join(leaks, "row", "left_anti"), documents)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from tremorgrade.llm.batches import Words, pieces, words
 from tremorgrade.llm.components import components
 from tremorgrade.llm.packed import packed, unpacked
-from tremorgrade.llm.row_keys import keyed
+from tremorgrade.llm.row_keys import keyed, put_back, set_aside
 from tremorgrade.llm.store import stored
 
 SHINGLE = 5
@@ -396,7 +396,12 @@ def _joined(documents: DataFrame) -> DataFrame:
 
 
 def keep_first(documents: DataFrame) -> DataFrame:
-    """One row of each component, one of the least id; all without shingles."""
+    """One row of each component, one of the least id; all without shingles, and all without
+    doc_id. Other columns pass, whatever their names. An empty table stays empty."""
+    return put_back(_first_rows(set_aside(documents)), documents)
+
+
+def _first_rows(documents: DataFrame) -> DataFrame:
     rows = keyed(documents)
     if rows is None:
         gone = _joined(documents).where("doc_id <> component_id").select("doc_id").distinct()

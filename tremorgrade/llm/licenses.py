@@ -54,9 +54,10 @@ PERMISSIVE = frozenset({"apache", "bsd", "cc-by", "cc0", "isc", "mit", "unlicens
 
 _SEPARATORS = bytes(range(0x00, 0x30)) + bytes(range(0x3A, 0x61)) + bytes(range(0x7B, 0x80))
 _TO_BLANK = bytes.maketrans(_SEPARATORS, b" " * len(_SEPARATORS))
-_TAG = re.compile(rb"spdx-license-identifier\s*:([^\r\n]*)", re.IGNORECASE)
+_TAG = re.compile(rb"spdx-license-identifier\s*:((?:(?!spdx-license-identifier)[^\r\n])*)", re.IGNORECASE)
 _TOKEN = re.compile(r"\s*(\(|\)|[A-Za-z0-9.+:-]+)")
 _PRECEDENCE = {"OR": 1, "AND": 2, "WITH": 3}
+_LOWER = {"or", "and", "with"}
 
 _SCHEMA = (
     "doc_id long, n_words long, n_base long, first_word long, last_word long, "
@@ -65,12 +66,17 @@ _SCHEMA = (
 
 
 def to_postfix(expression: str) -> list[str]:
-    """Shunting-yard; reading stops at the first token that can't belong to an expression."""
+    """Shunting-yard; reading stops at the first character or token that can't belong to an
+    expression. Prose may follow one, so a lower-case operator counts only before a known
+    identifier or a bracket."""
     output: list[str] = []
     stack: list[str] = []
     operand_next = True
-    for token in _TOKEN.findall(expression):
-        word = token.upper()
+    read = list(_tokens(expression))
+    for token, following in zip(read, [*read[1:], ""], strict=False):
+        word = token
+        if token in _LOWER and (following == "(" or family(following)):
+            word = token.upper()
         if token == "(" and operand_next:
             stack.append(token)
         elif token == ")" and not operand_next and "(" in stack:
@@ -92,11 +98,19 @@ def to_postfix(expression: str) -> list[str]:
     return output + [token for token in reversed(stack) if token != "("]
 
 
+def _tokens(expression: str) -> Iterator[str]:
+    at = 0
+    while found := _TOKEN.match(expression, at):
+        yield found[1]
+        at = found.end()
+
+
 def judge(postfix: list[str]) -> tuple[set[str], float]:
     """Labels in an expression, and how freely it lets one use the text (0 to 1).
 
     OR leaves the choice (the better side counts), AND binds to both (the worse
-    side), WITH adds an exception to its left side and names no licence.
+    side), WITH adds an exception to its left side and names no licence. An identifier
+    of no known family has no label and counts as not free.
     """
     stack: list[tuple[set[str], float]] = []
     for token in postfix:
@@ -108,13 +122,13 @@ def judge(postfix: list[str]) -> tuple[set[str], float]:
                 stack.append((left | right, max(a, b) if token == "OR" else min(a, b)))
         else:
             label = family(token)
-            stack.append(({label}, 1.0 if label in PERMISSIVE else 0.5))
+            stack.append(({label} if label else set(), 1.0 if label in PERMISSIVE else 0.5))
     return stack[-1] if stack else (set(), 0.0)
 
 
-def family(identifier: str) -> str:
+def family(identifier: str) -> str | None:
     lower = identifier.lower()
-    return next((FAMILIES[f] for f in FAMILIES if lower.startswith(f)), lower)
+    return next((FAMILIES[f] for f in FAMILIES if lower.startswith(f)), None)
 
 
 class Scanner:
@@ -150,7 +164,7 @@ class Scanner:
         for found in _TAG.finditer(text) if tagged else ():
             postfix = to_postfix(found[1].decode("utf-8", "replace"))
             named, free = judge(postfix)
-            if named:
+            if postfix:
                 labels |= named
                 freedom.append(free)
                 expressions.append(" ".join(postfix))

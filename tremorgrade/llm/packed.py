@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from tremorgrade.llm.batches import as_bytes, pieces
 
@@ -16,7 +17,7 @@ _LEVEL = 3
 def packed(documents: DataFrame, *others: str) -> DataFrame:
     """(doc_id, packed) and other columns as they are: the UTF-8 bytes of each text; null is empty."""
     chosen = documents.select("doc_id", "text", *others)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema[2:])
+    fields = [T.StructField("doc_id", T.LongType()), T.StructField("packed", T.BinaryType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=_LEVEL).compress
@@ -27,7 +28,7 @@ def packed(documents: DataFrame, *others: str) -> DataFrame:
                 names=["doc_id", "packed", *others],
             )
 
-    return chosen.mapInArrow(run, "doc_id long, packed binary" + (f", {kinds}" if kinds else ""))
+    return chosen.mapInArrow(run, T.StructType([*fields, *chosen.schema.fields[2:]]))
 
 
 def unpacked(column: pa.Array) -> list[bytes]:

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremorgrade.llm.batches import as_bytes, pieces, words
+from tremorgrade.llm.row_keys import put_back, set_aside
 from tremorgrade.llm.store import stored
 
 TARGETS = ("quality", "toxic")
@@ -526,7 +527,10 @@ def score(documents: DataFrame, models: dict[str, Model]) -> DataFrame:
 
 
 def keep_good(documents: DataFrame, models: dict[str, Model]) -> DataFrame:
-    """The documents, all columns, that both targets let pass."""
+    """The documents, all columns, whatever their names, that both targets let pass."""
+    aside = set_aside(documents)
+    known = [c for c in _COLUMNS if c not in ("doc_id", "text")]
+    rows = aside.withColumns({c: F.col("others").getField(c) for c in known})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Small pieces: whole documents are on their way out at the same time.
@@ -538,7 +542,7 @@ def keep_good(documents: DataFrame, models: dict[str, Model]) -> DataFrame:
             )
             yield batch.filter(pa.array((good >= 0.5) & (toxic <= 0.5)))
 
-    return documents.mapInArrow(run, documents.schema)
+    return put_back(rows.mapInArrow(run, rows.schema), documents)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,30 @@ BROADCAST_IDS = 2_000_000
 """So many repeated ids at most are broadcast: some 50 MB in memory."""
 
 
+def set_aside(documents: DataFrame) -> DataFrame:
+    """doc_id, text, and all other columns in one struct ``others``, so that no name of theirs
+    meets a working name."""
+    others = [F.col(_quoted(c)) for c in documents.columns if c not in ("doc_id", "text")]
+    return documents.select("doc_id", "text", F.struct(*(others or [F.lit(True).alias("none")])).alias("others"))
+
+
+def put_back(rows: DataFrame, documents: DataFrame, **made: str) -> DataFrame:
+    """Rows that were set aside, with the columns of ``documents`` in their order; a column of
+    ``made`` comes from the column of ``rows`` it names."""
+    return rows.select(
+        *[
+            F.col(c if c in ("doc_id", "text") else made[c]).alias(c)
+            if c in ("doc_id", "text") or c in made
+            else F.col("others").getField(c).alias(c)
+            for c in documents.columns
+        ]
+    )
+
+
+def _quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
+
+
 def keyed(documents: DataFrame) -> DataFrame | None:
     """The rows with ``row`` and ``repeated``; None if no doc_id is repeated.
 

@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tremorgrade.llm.batches import as_bytes, pieces
 from tremorgrade.llm.byte_grams import Grams, blocks
@@ -277,9 +278,9 @@ def _cut(documents: DataFrame, *others: str) -> DataFrame:
             )
 
     texts = packed(documents, *others)
-    kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in texts.schema[2:])
     columns = "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,stop:long>>"
-    return texts.join(spans, "doc_id", "left").mapInArrow(run, columns + kinds)
+    schema = T.StructType([*T.StructType.fromDDL(columns), *texts.schema.fields[2:]])
+    return texts.join(spans, "doc_id", "left").mapInArrow(run, schema)
 
 
 def _merged(ranges: pa.Scalar, size: int) -> list[tuple[int, int]]:

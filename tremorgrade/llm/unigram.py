@@ -24,9 +24,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tremorgrade.llm.batches import pieces
 from tremorgrade.llm.memory import Memory
+from tremorgrade.llm.row_keys import put_back, set_aside
 
 MARKER = "▁"
 _UNKNOWN_COST = 10.0
@@ -302,9 +305,12 @@ def _encode(batches: Iterator[pa.RecordBatch], file: str) -> Iterator[pa.RecordB
 
 
 def encode(documents: DataFrame, file: str) -> DataFrame:
-    """The documents with their ids as column ``token_ids``."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
-    return documents.mapInArrow(lambda batches: _encode(batches, file), f"{schema}, token_ids array<int>")
+    """The documents with their ids as column ``token_ids``; one of that name is replaced."""
+    documents = documents.drop("token_ids")
+    ids = T.StructField("token_ids", T.ArrayType(T.IntegerType()))
+    aside = set_aside(documents)
+    encoded = aside.mapInArrow(lambda batches: _encode(batches, file), T.StructType([*aside.schema.fields, ids]))
+    return put_back(encoded, documents.withColumn("token_ids", F.lit(None)), token_ids="token_ids")
 
 
 def decode(encoded: DataFrame, file: str) -> DataFrame:
