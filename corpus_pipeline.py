@@ -3,7 +3,11 @@
 Every stage takes (spark, docs, sf_dir) and returns what it keeps; all but the last
 return the columns of documents. Between two stages the documents are written and read
 again. No single SQL text expresses the classifier, so ORACLE_SQL is None and the stages
-are tested against plain versions of themselves.
+are tested.
+
+Rows without doc_id pass the join and the cut as they are and are judged by the others; null
+texts are empty. Rows that share a doc_id are told apart by their texts. An empty table gives
+no rows. Further columns pass to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -11,8 +15,10 @@ from __future__ import annotations
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from tremorgrade.llm import contamination, jaccard_join, quality, suffix_dedup, unigram
+from tremorgrade.llm.row_keys import put_back, set_aside
 from tremorgrade.llm.store import stored
 
 ORACLE_SQL = None
@@ -32,22 +38,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the passages of 200 bytes and more that repeat. A character cut in
     two goes too; n_chars is what is left."""
-    names = docs.columns
-    others = [c for c in names if c not in ("doc_id", "text", "n_chars")]
-    cut = suffix_dedup.cut_repeats(docs, *others)
+    aside = set_aside(docs)
+    cut = suffix_dedup.cut_repeats(aside, "others").select("doc_id", "kept", "others")
 
     def run(batches):
         for batch in batches:
             texts = [k.decode("utf-8", "ignore") for k in batch["kept"].to_pylist()]
-            made = {
-                "doc_id": batch["doc_id"],
-                "text": pa.array(texts, pa.string()),
-                "n_chars": pa.array([len(t) for t in texts], pa.int64()),
-            }
-            columns = [made[c] if c in made else batch[c] for c in names]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return cut.mapInArrow(run, docs.schema)
+            lengths = pa.array([len(t) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], pa.array(texts, pa.string()), lengths, batch["others"]],
+                names=["doc_id", "text", "length", "others"],
+            )
+
+    schema = T.StructType([*aside.schema.fields[:2], T.StructField("length", T.LongType()), aside.schema["others"]])
+    return put_back(cut.mapInArrow(run, schema), docs, n_chars="length")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
