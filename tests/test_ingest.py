@@ -7,7 +7,7 @@ from decimal import Decimal
 import pytest
 
 from tremorgrade.schema import ANSWER_KEY_FIELDS, ANSWER_KEY_SCHEMA, ANSWER_KEY_TEXT_SCHEMA
-from tremorgrade.sources import cleaning
+from tremorgrade.sources import answer_key, cleaning
 from tremorgrade.sources.answer_key import add_row_ids, read_answer_key
 
 GOOD = {
@@ -164,16 +164,30 @@ def test_file_lines_short_long_quoted_and_blank(spark, tmp_path):
     assert rows[2].station_name == "short" and rows[2].azimuth is None
 
 
-def test_file_in_chinese_encoding(spark, tmp_path):
-    path = write(tmp_path, ["header", line(earthquake_type="干扰波")], "gbk")
-    with pytest.raises(ValueError, match="javaCharsets"):
-        read_answer_key(spark, path)
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+@pytest.mark.parametrize("encoding", ["gbk", "gb18030", "gb2312", "utf-8", "utf-8-sig"])
+def test_file_in_chinese_encoding(spark, tmp_path, encoding):
+    path = write(tmp_path, ["header", line(earthquake_type="干扰波")], encoding)
+    assert answer_key.guess_encoding(spark, path) == ("UTF-8" if encoding.startswith("utf") else "GB18030")
     try:
         (row,) = read_answer_key(spark, path).collect()
+        (named,) = read_answer_key(spark, path, encoding=encoding.replace("utf-8-sig", "UTF-8")).collect()
     finally:
         spark.conf.unset("spark.sql.legacy.javaCharsets")
     assert (row.earthquake_type, row.station_manager) == ("干扰波", "张三")
+    assert row == named
+
+
+def test_guess_of_other_bytes(spark, tmp_path):
+    def guess(content):
+        (tmp_path / "f").write_bytes(content)
+        return answer_key.guess_encoding(spark, str(tmp_path / "f"))
+
+    assert guess(b"") == guess(b"plain") == "UTF-8"
+    assert guess("张".encode() * 20_000) == "UTF-8"  # the 50,000th byte is inside a character
+    assert guess("张三".encode("gbk") * 20_000) == "GB18030"
+    assert guess("caf\xe9 ".encode("latin-1") + b"\xff\xff") == "ISO-8859-1"
+    with pytest.raises(LookupError):
+        read_answer_key(spark, str(tmp_path / "f"), encoding="no-such")
 
 
 def test_bytes_the_encoding_does_not_know_are_replaced(spark, tmp_path):

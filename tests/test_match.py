@@ -4,9 +4,14 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from conftest import P_ALARMS, S_ALARMS, WAVES, at, make_key, make_p, make_s
 from tremorgrade import Evaluation, Sizing
+from tremorgrade.operators.sizing import profile_key
+from tremorgrade.operators.windows import add_windows, extend_windows
+from tremorgrade.schema import ANSWER_KEY_SCHEMA
 
 PLANS = {"broadcast": Sizing(), "shuffled": Sizing(broadcast_waves=0)}
 
@@ -210,3 +215,43 @@ def test_far_alarm_is_averaged(spark, sizing):
     p = make_p(spark, [{"station_p_wave_alarm_id": "a", "jk_time": at("10:00:01"), "rcv_jktime": datetime(9999, 12, 31)}])
     row = Evaluation(key, p, make_s(spark, []), sizing).kpi("kpi_p_send").first()
     assert any("2516" in str(v) for v in row.asDict().values())
+
+
+def test_extended_windows_equal_the_whole_computation(spark):
+    """Waves appended at any time: only their days and the ones before are computed again."""
+    draw = random.Random(12)
+    for _ in range(6):
+        waves = [
+            {"id": i, "send_time": None if draw.random() < 0.05 else at("00:00:00") + timedelta(
+                days=draw.choice([0, 0, 1, 4, 5, 9]), seconds=draw.randint(0, 5))}
+            for i in range(1, 41)
+        ]
+        ends = [{**w, "end_time": (w["send_time"] or at("00:00:00")) + timedelta(minutes=1)} for w in waves]
+        key = _frame_of(spark, ends)
+        split = draw.randint(0, 40)
+        old, new = key.where(f"id <= {split}"), key.where(f"id > {split}")
+        before = add_windows(old, profile_key(old))
+        extended = extend_windows(before, new)
+        whole = add_windows(key, profile_key(key))
+        assert extended.columns == whole.columns
+        assert sorted(map(repr, extended.collect())) == sorted(map(repr, whole.collect()))
+
+
+def _frame_of(spark, rows):
+    defaults = {
+        "test_id": 1, "waveform_id": "W", "station_name": "ST", "station_manager": "M",
+        "start_time": at("00:00:00"), "duration": 60.0, "earthquake_type": "quake",
+    }
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in ANSWER_KEY_SCHEMA])
+    return spark.createDataFrame([tuple({**defaults, **r}.get(n) for n in schema.names) for r in rows], schema)
+
+
+def test_days_without_new_waves_are_not_computed_again(spark):
+    key = make_key(spark, [
+        {"id": i, "send_time": at("10:00:00") + timedelta(days=i)} for i in range(1, 10)
+    ])
+    old, new = key.where("id <= 8"), key.where("id = 9")
+    before = add_windows(old, profile_key(old)).withColumn(
+        "next_send_time", F.expr("CASE WHEN id < 8 THEN TIMESTAMP_NTZ '1999-01-01' ELSE next_send_time END"))
+    found = {r.id: r.next_send_time.year for r in extend_windows(before, new).collect()}
+    assert found == {**{i: 1999 for i in range(1, 8)}, 8: 2024, 9: 2024}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tremorgrade.functions import seconds_between
 from tremorgrade.operators.grade import S_LEVELS
 from tremorgrade.schema import P_ALARM_ID, S_ALARM_ID
+from tremorgrade.sources.alarms import DAY, not_before, until
 
 
 def p_by_id(p_alarms: DataFrame) -> DataFrame:
@@ -49,7 +50,7 @@ def p_by_id_in_range(p_alarms: DataFrame, start, end) -> DataFrame:
     Alarms after the range cannot change that: an event whose first alarm they
     would be is out anyway. So that bound is applied to the scan as well.
     """
-    return in_range(p_by_id(p_alarms.where(f"jk_time <= {_bound(end)}")), start, end)
+    return in_range(p_by_id(until(p_alarms, _bound(end))), start, end)
 
 
 def s_first_in_range(s_alarms: DataFrame, start, end) -> DataFrame:
@@ -58,14 +59,21 @@ def s_first_in_range(s_alarms: DataFrame, start, end) -> DataFrame:
     As for P, alarms after the range cannot change which events these are, so their
     bound reaches the scan; the levels of ``s_by_id_in_range`` may come later and need them.
     """
-    until = s_alarms.where(f"earth_id IS NOT NULL AND jk_time <= {_bound(end)}")
+    rows = until(s_alarms, _bound(end)).where("earth_id IS NOT NULL")
     first = F.expr(f"min({_nulls_last(S_ALARM_ID)}) AS _first")
-    return in_range(until.groupBy("earth_id").agg(first).selectExpr("earth_id", *_times("_first", "")), start, end)
+    return in_range(rows.groupBy("earth_id").agg(first).selectExpr("earth_id", *_times("_first", "")), start, end)
 
 
 def s_by_id_in_range(s_alarms: DataFrame, start, end) -> DataFrame:
-    """``s_by_id`` whose first alarm of any level lies in the closed range."""
-    return in_range(s_by_id(s_alarms), start, end)
+    """``s_by_id`` whose first alarm of any level lies in the closed range.
+
+    Of a log kept by day, days after the range tell nothing about which events these are,
+    and days before it nothing about their alarms: either end is read once without the other.
+    """
+    if DAY not in s_alarms.columns:
+        return in_range(s_by_id(s_alarms), start, end)
+    events = s_first_in_range(s_alarms, start, end).select("earth_id")
+    return s_by_id(not_before(s_alarms, _bound(start)).join(events, "earth_id", "left_semi"))
 
 
 def in_range(reports: DataFrame, start, end) -> DataFrame:

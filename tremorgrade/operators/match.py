@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from tremorgrade.functions import micros
 from tremorgrade.operators.sizing import KeyProfile
 from tremorgrade.session import computed_once
+from tremorgrade.sources.alarms import between
 
 WINDOW = ["send_time", "next_send_time"]
 
@@ -65,9 +66,7 @@ def match_windows(
     ``jk_time``, the alarm id and the asked columns (null if no alarm reaches
     the level); and ``peak``, the largest ``value``, if ``value`` is given.
     """
-    in_range = alarms.where(
-        f"jk_time BETWEEN {_instant(profile.first)} AND {_instant(profile.last)}"
-    )
+    in_range = between(alarms, _instant(profile.first), _instant(profile.last))
     earliest = _earliest(windows, in_range, firsts, profile, value)
     return _fetch(earliest, in_range, alarm_id, firsts, profile, value)
 

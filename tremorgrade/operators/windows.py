@@ -29,8 +29,14 @@ def _inside_days(key: DataFrame) -> DataFrame:
 
     A day may hold any share of the waves, so this is for keys whose size is checked.
     """
-    by_day = key.select("*", F.to_date("send_time").alias("_day"))
-    days = by_day.groupBy("_day").agg(F.min("send_time").alias("_head"))
+    dated = key.withColumn("_day", F.to_date("send_time"))
+    days = _next_heads(dated.groupBy("_day").agg(F.min("send_time").alias("_head")))
+    # At most a row per wave, and far fewer: the calendar days with a wave.
+    return _in_days(dated.join(F.broadcast(days.select("_day", "_next_head")), "_day", "left"), key.columns)
+
+
+def _in_days(by_day: DataFrame, columns: list[str]) -> DataFrame:
+    """Ends of waves that know their ``_day`` and the ``_next_head``."""
     # One partitioning for all three, and one sort. Only the first wave of an instant has a
     # mark, so the next mark is a later instant.
     in_day = "OVER (PARTITION BY _day ORDER BY send_time, id)"
@@ -41,16 +47,39 @@ def _inside_days(key: DataFrame) -> DataFrame:
         F.expr(f"max(id) {of_instant} AS _last_id"),
     )
     following = marked.withColumn("_in_day", F.expr(f"lead(_mark) IGNORE NULLS {in_day}"))
-    # At most a row per wave, and far fewer: the calendar days with a wave.
-    heads = _next_heads(days).select("_day", "_next_head")
-    return _ended(following.join(F.broadcast(heads), "_day", "left"), key, F.coalesce("_in_day", "_next_head"))
+    return _ended(following, columns, F.coalesce("_in_day", "_next_head"))
+
+
+def extend_windows(windows: DataFrame, new: DataFrame) -> DataFrame:
+    """The windows of a key to which waves were appended, from its windows of before.
+
+    A wave ends at a later wave of its day or at the head of the next day. So only days with
+    a new wave and the last day before each are computed again; all others pass as they are,
+    unsorted and unshuffled. Meant for a few new waves; ``add_windows`` does whole keys.
+    """
+    columns = new.columns
+    old = windows.select(*[F.col(f"`{c}`") for c in columns], F.lit(False).alias("_new"))
+    key = old.unionByName(new.withColumn("_new", F.lit(True))).withColumn("_day", F.to_date("send_time"))
+    days = key.where("_day IS NOT NULL").groupBy("_day").agg(
+        F.min("send_time").alias("_head"), F.max("_new").alias("_new")
+    )
+    # One row per calendar day, here and where it is broadcast.
+    order = Window.orderBy("_day")
+    next_new = F.coalesce(F.lead("_new").over(order), F.lit(False))
+    days = F.broadcast(
+        days.select("_day", F.lead("_head").over(order).alias("_next_head"), (F.col("_new") | next_new).alias("_changed"))
+    )
+    changed = key.drop("_new").join(days, "_day", "left").where("coalesce(_changed, true)")
+    names = [F.col(f"`{c}`") for c in columns]
+    same = windows.withColumn("_day", F.to_date("send_time")).join(days, "_day").where("NOT _changed")
+    return _in_days(changed, columns).unionByName(same.select(*names, "next_send_time"))
 
 
 def _over_instants(key: DataFrame, profile: KeyProfile) -> DataFrame:
     # Stored, so that both sides of the join come straight from a shuffle and Spark can
     # split an instant that many waves share.
     following = computed_once(following_instants(key))
-    return _ended(attach(key, following, ["send_time"], profile), key, F.col("_following"))
+    return _ended(attach(key, following, ["send_time"], profile), key.columns, F.col("_following"))
 
 
 def following_instants(key: DataFrame) -> DataFrame:
@@ -83,11 +112,11 @@ def following_instants(key: DataFrame) -> DataFrame:
     )
 
 
-def _ended(rows: DataFrame, key: DataFrame, following) -> DataFrame:
+def _ended(rows: DataFrame, columns: list[str], following) -> DataFrame:
     """All but the last of the waves sent at one instant end where they start."""
     ends = F.when(F.col("id") < F.col("_last_id"), F.col("send_time"))
     return rows.select(
-        *[F.col(f"`{name}`") for name in key.columns],
+        *[F.col(f"`{name}`") for name in columns],
         F.coalesce(ends, following, F.col("end_time")).alias("next_send_time"),
     )
 

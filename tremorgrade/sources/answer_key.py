@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import codecs
+import logging
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,19 +16,47 @@ _BUILT_IN = {"US-ASCII", "ISO-8859-1", "UTF-8", "UTF-16BE", "UTF-16LE", "UTF-16"
 _CHARSET_SETTING = "spark.sql.legacy.javaCharsets"
 
 _INDEX_BITS = 33
+_GUESSED_BYTES = 50_000
+
+log = logging.getLogger(__name__)
+
+
+def guess_encoding(spark: SparkSession, path: str) -> str:
+    """The encoding that the first 50,000 bytes of every file agree with: UTF-8, else the
+    Chinese one that covers GBK and GB2312, else Latin-1, which takes any byte."""
+    files = spark.read.format("binaryFile").load(path)
+    heads = [bytes(r[0]) for r in files.select(F.substring("content", 1, _GUESSED_BYTES)).toLocalIterator()]
+    for name in ("UTF-8", "GB18030"):
+        if all(_reads(head, name) for head in heads):
+            return name
+    return "ISO-8859-1"
+
+
+def _reads(head: bytes, encoding: str) -> bool:
+    """Whether the bytes are text of this encoding; the last character may be cut off."""
+    try:
+        codecs.getincrementaldecoder(encoding)().decode(head)
+    except UnicodeDecodeError:
+        return False
+    return True
 
 
 def read_answer_key(
-    spark: SparkSession, path: str, encoding: str = "GBK", multi_line: bool = False
+    spark: SparkSession, path: str, encoding: str | None = None, multi_line: bool = False
 ) -> DataFrame:
     """The 28 columns by position, all text, without the header line.
 
     Short lines end in nulls and surplus fields are dropped; nothing is
     rejected here. Bytes the encoding does not know become replacement marks.
-    ``multi_line`` allows line breaks inside quotes but reads each file whole.
+    Without ``encoding`` it is guessed. ``multi_line`` allows line breaks inside quotes but
+    reads each file whole. An encoding beyond Spark's own needs a setting of the session
+    when the file is scanned; it is switched on and stays on.
     """
+    encoding = encoding or guess_encoding(spark, path)
     if encoding.upper() not in _BUILT_IN and spark.conf.get(_CHARSET_SETTING, "false") != "true":
-        raise ValueError(f"encoding {encoding} needs {_CHARSET_SETTING}=true in the session")
+        codecs.lookup(encoding)
+        log.info("%s switched on to read %s", _CHARSET_SETTING, encoding)
+        spark.conf.set(_CHARSET_SETTING, "true")
     return (
         spark.read.schema(ANSWER_KEY_TEXT_SCHEMA)
         .option("header", True)
