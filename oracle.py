@@ -548,6 +548,9 @@ def statements() -> dict[str, str]:
         found[name] = f"{both} {_kpi_row(source, fields)}"
     for name, (source, fields) in TIMED_KPIS.items():
         found[name] = f"{by_id} {_kpi_row(source, fields)}"
+    for name in ("p_matched", "s_matched", "details", "scorecard"):
+        # The same on times that are not cut.
+        found[f"{name}_exact"] = found[name].replace("date_trunc('minute', ts) AS t", "ts AS t")
     named = ", ".join(f'{name} AS "{zh}"' for name, zh in DETAIL_COLUMNS_ZH.items())
     found["details_zh"] = f"{both} SELECT id, {named} FROM ({_DETAILS})"
     found["kpi_p_send_zh"] = f"{both} " + _kpi_in_chinese(

@@ -2,8 +2,9 @@
 
 Events play the parts: errors are the waves sent, clicks and views the P alarms,
 purchases and signups the S alarms. Times are cut to the minute, which makes
-ties, shared window ends and empty windows. Cleaning and the row expressions
-play no part: they take every event.
+ties, shared window ends and empty windows, or taken as they are, which makes
+windows of any length. Cleaning and the row expressions play no part: they take
+every event.
 """
 
 from __future__ import annotations
@@ -144,27 +145,29 @@ _EVENTS = (
 )
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events with ``t``, their time cut to the minute."""
-    minute = F.expr("CAST(date_trunc('MINUTE', ts) AS TIMESTAMP_NTZ)")
+def events(spark: SparkSession, sf_dir: str, exact: bool = False) -> DataFrame:
+    """The events with ``t``, their time, cut to the minute unless it is to be ``exact``."""
+    time = F.expr("ts" if exact else "CAST(date_trunc('MINUTE', ts) AS TIMESTAMP_NTZ)")
     rows = spark.read.schema(_EVENTS).parquet(f"{sf_dir}/events.parquet")
-    return rows.withColumn("t", minute)
+    return rows.withColumn("t", time)
 
 
-def answer_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+def answer_key(spark: SparkSession, sf_dir: str, exact: bool = False) -> DataFrame:
     truth = {name: f"CASE WHEN event_id % 10 <> 0 THEN {sql} END" for name, sql in _TRUTH.items()}
     columns = {**_KEY, **truth}
-    rows = events(spark, sf_dir).where("event_type = 'error'")
+    rows = events(spark, sf_dir, exact).where("event_type = 'error'")
     return rows.selectExpr(*[f"{columns[name]} AS {name}" for name in ANSWER_KEY_SCHEMA.names])
 
 
-def p_alarms(spark: SparkSession, sf_dir: str, kinds: str = P_KINDS) -> DataFrame:
-    rows = events(spark, sf_dir).where(kinds)
+def p_alarms(
+    spark: SparkSession, sf_dir: str, kinds: str = P_KINDS, exact: bool = False
+) -> DataFrame:
+    rows = events(spark, sf_dir, exact).where(kinds)
     return rows.selectExpr(*[f"{sql} AS {name}" for name, sql in _P_ALARM.items()])
 
 
-def s_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = events(spark, sf_dir).where("event_type IN ('purchase', 'signup')")
+def s_alarms(spark: SparkSession, sf_dir: str, exact: bool = False) -> DataFrame:
+    rows = events(spark, sf_dir, exact).where("event_type IN ('purchase', 'signup')")
     return rows.selectExpr(*[f"{sql} AS {name}" for name, sql in _S_ALARM.items()])
 
 
