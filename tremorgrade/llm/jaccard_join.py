@@ -119,7 +119,7 @@ def _profiles(documents: DataFrame) -> DataFrame:
             sets = list(_sets(words(batch["text"])))
             if sets:
                 every = np.concatenate(sets) >> np.uint64(64 - _SKETCH_BITS)
-                counts += np.bincount(every.astype(np.int64), minlength=len(counts)).astype(np.int32)
+                np.add.at(counts, every.astype(np.int64), np.int32(1))
             n = pa.array([len(s) for s in sets], pa.int64())
             h1 = pa.array([_identity(s) for s in sets], pa.int64())
             h2 = pa.array([_identity(s, 0x94D049BB133111EB) for s in sets], pa.int64())
