@@ -23,21 +23,33 @@ from tremorgrade.llm.store import stored
 
 ORACLE_SQL = None
 
+_BATCH_SETTING, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Batches of 4 MB at most on their way to Python: documents are long, and a batch is held
+    several times over, here and there, in every running task."""
+    if int(spark.conf.get(_BATCH_SETTING).rstrip("b")) > _BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, str(_BATCH_BYTES))
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on these documents' labels, lets pass."""
+    _small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.keep_good(docs, quality.train(docs, labels))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the least id."""
+    _small_batches(spark)
     return jaccard_join.keep_first(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the passages of 200 bytes and more that repeat. A character cut in
     two goes too; n_chars is what is left."""
+    _small_batches(spark)
     aside = set_aside(docs)
     cut = suffix_dedup.cut_repeats(aside, "others").select("doc_id", "kept", "others")
 
@@ -62,6 +74,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's token ids, with the proof that they decode to its text."""
+    _small_batches(spark)
     file = public_tokenizers.path("piece_bpe_32k.model")
     return unigram.round_trips(docs, file, "lang", "source", "n_chars", "token_ids")
 
