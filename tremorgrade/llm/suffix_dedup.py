@@ -179,20 +179,20 @@ def _strings(doc_id, text, bucket, at, first, last, weight) -> Iterator[pa.Recor
 def repeated(documents: DataFrame) -> DataFrame:
     """(doc_id, start, stop): byte ranges, overlapping, that together are all bytes to go."""
     anchors = _anchors(documents)
-    shared = (
-        anchors.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    )
-    members = stored(anchors.join(shared, "bucket"), "members")
+    # Stored, so that both sides of the join come straight from a shuffle and hot buckets split.
+    shared = anchors.groupBy("bucket").agg(F.count("*").alias("in_bucket")).where("in_bucket > 1")
+    members = stored(anchors.join(stored(shared, "shared"), "bucket"), "members")
     runs = members.groupBy("bucket", "run").agg(
-        F.count("*").alias("n"), F.min(F.struct("doc_id", "first", "extent")).alias("member")
+        F.count("*").alias("n"),
+        F.min(F.struct("doc_id", "first", "extent")).alias("member"),
+        F.max("in_bucket").alias("in_bucket"),
     )
     runs = stored(runs, "runs")
     whole = members.join(runs.where("n > 1").select("bucket", "run"), ["bucket", "run"])
 
-    # Buckets with one run only are final.
-    mixed = runs.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
+    # Buckets with one run only are final: that run has all of the bucket's members.
     start, extent = F.col("member.first"), F.col("member.extent")
-    chosen = runs.join(mixed, "bucket").select(
+    chosen = runs.where("in_bucket > n").select(
         F.col("member.doc_id").alias("doc_id"),
         "bucket",
         (start + extent.bitwiseAND(0xFF)).alias("at"),
@@ -200,13 +200,12 @@ def repeated(documents: DataFrame) -> DataFrame:
         (start + F.shiftright(extent, 8)).alias("last"),
         F.col("n").alias("weight"),
     )
-    chosen = stored(chosen, "chosen")
     texts = packed(documents).join(chosen.select("doc_id").distinct(), "doc_id", "left_semi")
     texts = stored(texts, "texts")
 
     stretches = stored(_with_texts(chosen, texts, whole=True), "stretches")
     alive = stretches.groupBy("bucket", "cell", "inner").agg(F.sum("weight").alias("k")).where("k > 1")
-    stretches = stretches.join(alive.drop("k"), ["bucket", "cell", "inner"])
+    stretches = stretches.join(stored(alive.drop("k"), "inner"), ["bucket", "cell", "inner"])
     counts = stretches.groupBy("bucket", "cell", "id").agg(F.sum("weight").alias("total"))
     stretches = stored(stretches.join(counts, ["bucket", "cell", "id"]), "alive")
     # Members a chosen one stands for are covered already: only their partners need its strings.
