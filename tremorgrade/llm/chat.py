@@ -9,7 +9,9 @@ and the number of tokens the placeholder will be expanded to.
 
 Each turn is formatted by itself, so nothing is shuffled. Nulls: a null text or role
 is empty, a null list of parts has no parts, a null part is skipped, an unknown type
-leaves a placeholder of its own without tokens. Repeated rows are turns of their own.
+leaves a placeholder of its own without tokens. A size that is null, NaN, infinite or under
+zero counts as zero. Repeated rows are turns of their own, an empty table gives no rows, other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -31,9 +33,11 @@ _FORMATTED = (
     "conv_id long, turn long, chunk string, loss array<struct<start:int,stop:int>>, "
     "attachments array<struct<place:string,type:string,ref:string,tokens:long>>"
 )
-_CONTROL = re.compile(r"[\\<>]")
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
-_TURN = re.compile(r"<turn ((?:\\.|[^\\<>])*)>((?:\\.|[^\\<]|<(?!/turn>))*)</turn>\n", re.DOTALL)
+_HEAD = re.compile(r"<turn ((?:[^\\<>]++|\\.)*+)>", re.DOTALL)
+_END = "</turn>\n"
+_PIECE = 1 << 16
+_MOST_TOKENS = 2**53
 
 
 @dataclass(frozen=True)
@@ -46,11 +50,26 @@ class Expansion:
 
 
 def escape(text: str) -> str:
-    return _CONTROL.sub(r"\\\g<0>", text)
+    return text.replace("\\", "\\\\").replace("<", "\\<").replace(">", "\\>")
 
 
 def unescape(text: str) -> str:
-    return _ESCAPED.sub(r"\1", text)
+    return "".join(unescaped(text))
+
+
+def unescaped(text: str) -> Iterator[str]:
+    """The text without escapes, in pieces, so that a long one takes little more than itself."""
+    at = 0
+    while at < len(text):
+        piece = text[at : at + _PIECE]
+        if (len(piece) - len(piece.rstrip("\\"))) % 2:  # the next character belongs to it
+            piece = text[at : at + _PIECE + 1]
+        yield _ESCAPED.sub(r"\1", piece)
+        at += len(piece)
+
+
+def _size(value: float | None) -> float:
+    return value if value is not None and math.isfinite(value) and value > 0 else 0
 
 
 class PartVisitor:
@@ -79,13 +98,14 @@ class PartVisitor:
 
     def count_image(self, part: dict) -> int:
         tile = self.expansion.pixels_per_tile
-        return math.ceil((part["width"] or 0) / tile) * math.ceil((part["height"] or 0) / tile)
+        return math.ceil(_size(part["width"]) / tile) * math.ceil(_size(part["height"]) / tile)
 
     def count_audio(self, part: dict) -> int:
-        return math.ceil((part["seconds"] or 0) * self.expansion.tokens_per_second)
+        tokens = _size(part["seconds"]) * self.expansion.tokens_per_second
+        return math.ceil(min(tokens, _MOST_TOKENS))
 
     def count_document(self, part: dict) -> int:
-        return (part["pages"] or 0) * self.expansion.tokens_per_page
+        return _size(part["pages"]) * self.expansion.tokens_per_page
 
     def _add(self, piece: str) -> None:
         self.pieces.append(piece)
@@ -153,18 +173,23 @@ class Reader:
     def add(self, chunk: str, spans: list[dict]) -> None:
         self.chars += len(chunk)
         for span in spans:
-            text = unescape(chunk[span["start"] : span["stop"]])
-            self.loss_chars += len(text)
-            self.loss.update(text.encode())
+            for text in unescaped(chunk[span["start"] : span["stop"]]):
+                self.loss_chars += len(text)
+                self.loss.update(text.encode())
         self.rest += chunk
-        end = 0
-        for found in _TURN.finditer(self.rest):
-            if found.start() != end:
-                raise ValueError(f"not a turn: {self.rest[end : found.start()][:80]!r}")
+        at = 0
+        # No text can hold the end mark: a ">" in it has a "\\" before it.
+        while (end := self.rest.find(_END, at)) >= 0:
+            head = _HEAD.match(self.rest, at, end)
+            if head is None:
+                raise ValueError(f"not a turn: {self.rest[at : at + 80]!r}")
             self.n_turns += 1
-            self.turns.update(f"{unescape(found[1])}\n{unescape(found[2])}\n".encode())
-            end = found.end()
-        self.rest = self.rest[end:]
+            for text in (self.rest[head.start(1) : head.end(1)], self.rest[head.end() : end]):
+                for piece in unescaped(text):
+                    self.turns.update(piece.encode())
+                self.turns.update(b"\n")
+            at = end + len(_END)
+        self.rest = self.rest[at:]
 
     def row(self, conv_id: int | None) -> dict:
         if self.rest:

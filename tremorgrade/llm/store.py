@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,10 +12,16 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names; where none is named, as in tests, one of our own."""
+    """The folder the cluster names; where none is named, as in tests, one of our own.
+
+    That only on one machine: on a cluster each would write to its own disk and read nothing.
+    """
     context = spark.sparkContext
     named = spark.conf.get(_SETTING, None) or context.getCheckpointDir()
-    if named is None:  # the setting itself cannot change in a running session
+    if named is None:
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError(f"{_SETTING} must name a folder that all machines share")
+        # The setting itself cannot change in a running session.
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tremorgrade-"))
         named = context.getCheckpointDir()
     return named
