@@ -7,6 +7,8 @@ import os
 import random
 import re
 import sys
+import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -298,6 +300,60 @@ def test_chat_round_trip(spark):
     assert (got[1].n_turns, got[1].loss_chars, got[2].n_turns) == (2, len(hostile) + 2, 1)
 
 
+def test_chat_sizes_that_are_no_sizes(spark):
+    fields = ("type", "text", "ref", "width", "height", "seconds", "pages")
+    part = lambda **k: {f: k.get(f) for f in fields}
+    parts = [
+        part(type="audio", seconds=float("nan")), part(type="audio", seconds=float("inf")),
+        part(type="audio", seconds=-3.0), part(type="image", width=-5, height=28),
+        part(type="document", pages=-1), part(type="audio"), part(type="document", pages=2),
+        part(type="audio", seconds=1e308),
+    ]
+    turns = spark.createDataFrame([(1, 0, "user", parts)], f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    (row,) = chat.format_chats(turns).collect()
+    assert [a.tokens for a in row.attachments] == [0, 0, 0, 0, 0, 0, 512, 2**53]
+    assert chat.read_chats(chat.format_chats(turns.limit(0))).collect() == []
+
+
+@pytest.mark.parametrize("text", ["\\", "a\\\\", "<>", "\\<\\>\\", "</turn>\n", "\\</turn>\n<turn user>", "é\\" * 9])
+@pytest.mark.parametrize("piece", [1, 2, 3, 1 << 16])
+def test_chat_escapes_are_reversible_in_pieces(monkeypatch, text, piece):
+    monkeypatch.setattr(chat, "_PIECE", piece)
+    assert "</turn>" not in chat.escape(text)
+    assert chat.unescape(chat.escape(text)) == text
+    reader = chat.Reader()
+    head = f"<turn {chat.escape(text)}>"
+    body = chat.escape(text)
+    reader.add(f"{head}{body}</turn>\n" * 2, [{"start": len(head), "stop": len(head) + len(body)}])
+    row = reader.row(1)
+    assert row["turns_sha256"] == hashlib.sha256((f"{text}\n" * 4).encode()).hexdigest()
+    assert (row["n_turns"], row["loss_chars"]) == (2, len(text))
+    assert row["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+@pytest.mark.parametrize("bad", ["x</turn>\n", "<turn user>a", "<turn us<er>a</turn>\n"])
+def test_chat_that_is_cut_off_is_refused(bad):
+    with pytest.raises(ValueError, match="turn"):
+        reader = chat.Reader()
+        reader.add(bad, [])
+        reader.row(1)
+
+
+def test_a_long_turn_takes_little_more_than_itself():
+    text = "a<b" * 3_000_000
+    tracemalloc.start()
+    row = chat._formatted(
+        {"conv_id": 1, "turn": 0, "role": "assistant", "parts": [{"type": "text", "text": text}]},
+        "assistant", chat.Expansion(),
+    )
+    reader = chat.Reader()
+    reader.add(row["chunk"], row["loss"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert reader.row(1)["loss_chars"] == len(text)
+    assert peak < 8 * len(text)
+
+
 def test_license_places_and_expressions(spark):
     texts = {
         1: "Apache LICENSE, apache license mit license mit license",
@@ -436,6 +492,29 @@ def test_unigram_splits_as_well_as_the_library(documents):
         assert found.round_trip == (decoded[row.doc_id] == (row.text or ""))
 
 
+def test_long_stretches_split_as_short_ones_do(monkeypatch):
+    model = unigram.Unigram(unigram.load(public_tokenizers.path("piece_bpe_32k.model")))
+    rng = random.Random(3)
+    stretches = ["".join(rng.choices(letters, k=rng.randint(1, 300))) for letters in ("ab", "etaoin", "日本é😀x", "\x00A9/+") for _ in range(20)]
+    together = model.split_all(stretches)
+    monkeypatch.setattr(unigram, "_LONG", 40)
+    for block in (1, 7, 1 << 16):
+        monkeypatch.setattr(unigram, "_LONG_BLOCK", block)
+        alone = model.split_all(stretches)
+        assert all(np.array_equal(a, b) for a, b in zip(together, alone, strict=True))
+
+
+def test_text_without_blanks_takes_time_in_proportion():
+    model = unigram.Unigram(unigram.load(public_tokenizers.path("piece_bpe_32k.model")))
+    rng = random.Random(4)
+    text = "".join(rng.choices("ABCDEFGHabcdefgh0123456789+/", k=400_000))
+    began = time.process_time()
+    ids, sizes = model.split_all([text])
+    assert time.process_time() - began < 8  # 25 s and more place by place in arrays
+    assert sizes.tolist() == [len(ids)]
+    assert b"".join(model.vocabulary.pieces[i] for i in ids).decode() == text
+
+
 def test_token_files_hold_the_library_s_ids(spark, documents):
     from tokenizers import Tokenizer
 

@@ -8,7 +8,8 @@ costs ten more than the lowest score and becomes its bytes' pieces.
 Blanks are written into the pieces themselves: one goes before every text, and
 decoding takes it off. No piece reaches over the start of a run of blanks or over a
 line break, so the best split of a text is the best split of the stretches between,
-and each distinct stretch of a batch is split once, all of them side by side in arrays.
+and each distinct stretch of a batch is split once, all of them side by side in arrays;
+a long stretch, as of text without blanks, goes by itself, place by place in blocks.
 The white-space marker U+2581 counts as a blank, so such a text does not decode to
 itself; all others do. Null texts are empty: no ids, decoded to the empty text.
 """
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,6 +38,9 @@ _UNKNOWN_COST = 10.0
 _CHUNK_BYTES = 200_000
 _BLOCK = 512
 _KEPT = 1_000_000
+_LONG = 512
+"""A stretch of more bytes goes by itself."""
+_LONG_BLOCK = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -162,8 +167,13 @@ class Unigram:
         ids, sizes = [], []
         start = 0
         while start < len(encoded):
+            if len(encoded[start]) > _LONG:
+                ids.append(self.split_long(encoded[start]))
+                sizes.append(np.array([len(ids[-1])]))
+                start += 1
+                continue
             stop = int(np.searchsorted(bounds, bounds[start] + _CHUNK_BYTES, side="right")) - 1
-            stop = max(start + 1, stop)
+            stop = next((i for i in range(start, stop) if len(encoded[i]) > _LONG), stop)
             own = np.frombuffer(b"".join(encoded[start:stop]), np.uint8).astype(np.int64)
             found, count = self.split(own, bounds[start : stop + 1] - bounds[start])
             ids.append(found)
@@ -189,6 +199,58 @@ class Unigram:
         best, from_, piece = self._forward(size, bounds, stretch, starts, ends, scores, ids)
         return self._backward(text, bounds, stretch, from_, piece)
 
+    def split_long(self, encoded: bytes) -> np.ndarray:
+        """The ids ``split`` gives for one stretch, in time and memory that grow with its length.
+
+        Every edge is followed from its start, starts in order, so the first of equal scores
+        is the longest piece here too.
+        """
+        text = np.frombuffer(encoded, np.uint8)
+        size = len(text)
+        heads = np.append(np.flatnonzero((text & 0xC0) != 0x80), size)
+        length, piece = np.zeros(size + 1, np.int32), np.full(size + 1, -1, np.int32)
+        best = [0.0]  # of places from the block's first
+        for a in range(0, len(heads) - 1, _LONG_BLOCK):
+            block = heads[a : a + _LONG_BLOCK + 1]
+            origin, char = int(block[0]), np.diff(block)
+            block = block[:-1]
+            at, lengths, ids = self.trie.matches(text, block, np.full(len(block), size))
+            covered = np.zeros(len(block), bool)
+            covered[at[lengths == char[at]]] = True
+            bare = np.flatnonzero(~covered)
+            starts = np.concatenate((block[at], block[bare])) - origin
+            stops = starts + np.concatenate((lengths, char[bare]))
+            scores = np.concatenate((self.vocabulary.scores[ids], np.full(len(bare), self.unknown)))
+            ids = np.concatenate((ids, np.full(len(bare), -1)))
+            order = np.lexsort((stops, starts))
+            most = int(stops.max())
+            best += [-np.inf] * (most + 1 - len(best))
+            from_, by = [-1] * (most + 1), [-1] * (most + 1)
+            edges = (x[order].tolist() for x in (starts, stops, scores, ids))
+            for start, stop, score, number in zip(*edges, strict=True):
+                total = best[start] + score
+                if total > best[stop]:
+                    best[stop], from_[stop], by[stop] = total, start, number
+            places = np.array(from_)
+            new = np.flatnonzero(places >= 0)
+            length[origin + new] = new - places[new]
+            piece[origin + new] = np.array(by)[new]
+            done = int(heads[min(a + _LONG_BLOCK, len(heads) - 1)]) - origin
+            best = best[done:]
+        return self._walk_back(encoded, length, piece)
+
+    def _walk_back(self, encoded: bytes, length: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        found = array("q")
+        at = len(encoded)
+        while at:
+            start, number = at - int(length[at]), int(piece[at])
+            if number >= 0:
+                found.append(number)
+            else:  # a character without a piece becomes the pieces of its bytes
+                found.extend(int(self.vocabulary.of_byte[b]) for b in reversed(encoded[start:at]))
+            at = start
+        return np.array(found, np.int64)[::-1]
+
     def _forward(self, size, bounds, stretch, starts, ends, scores, ids):
         """Best score up to each position; edges are taken in order of their end's place in
         the stretch, ties go to the longest piece."""
