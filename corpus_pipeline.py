@@ -13,9 +13,7 @@ no rows. Further columns pass to the last stage, whatever their names.
 from __future__ import annotations
 
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 from tremorgrade.llm import contamination, jaccard_join, quality, suffix_dedup, unigram
 from tremorgrade.llm.row_keys import put_back, set_aside
@@ -51,19 +49,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     two goes too; n_chars is what is left."""
     _small_batches(spark)
     aside = set_aside(docs)
-    cut = suffix_dedup.cut_repeats(aside, "others").select("doc_id", "kept", "others")
-
-    def run(batches):
-        for batch in batches:
-            texts = [k.decode("utf-8", "ignore") for k in batch["kept"].to_pylist()]
-            lengths = pa.array([len(t) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(texts, pa.string()), lengths, batch["others"]],
-                names=["doc_id", "text", "length", "others"],
-            )
-
-    schema = T.StructType([*aside.schema.fields[:2], T.StructField("length", T.LongType()), aside.schema["others"]])
-    return put_back(cut.mapInArrow(run, schema), docs, n_chars="length")
+    return put_back(suffix_dedup.cut_texts(aside, "others"), docs, n_chars="length")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

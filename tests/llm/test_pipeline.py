@@ -44,3 +44,11 @@ def test_every_decision_takes_effect(spark):
     assert got.keys() == texts.keys() - leaked
     assert all(r.round_trip and r.n_chars == len(texts[i]) for i, r in got.items())
     assert 0 < len(leaked) and len(first) < len(good) < documents.count()
+
+
+def test_a_task_of_the_cut_needs_one_python_worker(spark):
+    """Workers an executor once started stay, so two at once in a task doubles them for good."""
+    cut = corpus_pipeline.cut_repeats(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+    plan = cut._jdf.queryExecution().executedPlan().toString().splitlines()
+    last = plan[: next(i for i, line in enumerate(plan) if "Exchange" in line)]
+    assert sum("MapInArrow" in line for line in last) == 1

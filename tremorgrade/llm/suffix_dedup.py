@@ -29,7 +29,7 @@ their ranges are joined by a key of id and text, which only equal rows share. Ro
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -236,23 +236,56 @@ def repeated(documents: DataFrame) -> DataFrame:
 def cut_repeats(documents: DataFrame, *others: str) -> DataFrame:
     """(doc_id, n_bytes, kept, spans) and other columns as they are: what is left of each
     document's bytes, and the maximal removed runs as (start, stop)."""
+    columns = "n_bytes long, kept binary, spans array<struct<start:long,stop:long>>"
+    return _cut_rows(documents, others, _as_bytes_left, columns)
+
+
+def cut_texts(documents: DataFrame, *others: str) -> DataFrame:
+    """(doc_id, text, length) and other columns as they are: what is left of each document as
+    text, without characters cut in two, and its number of characters. Made where the bytes
+    are cut, so that a task needs one Python worker, not two at once."""
+    return _cut_rows(documents, others, _as_text_left, "text string, length long")
+
+
+_Spans = list[list[tuple[int, int]]]
+
+
+def _as_bytes_left(kept: list[bytes], spans: _Spans, sizes: list[int]) -> list[pa.Array]:
+    span = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
+    marked = [[{"start": a, "stop": b} for a, b in own] for own in spans]
+    return [pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(marked, pa.list_(span))]
+
+
+def _as_text_left(kept: list[bytes], spans: _Spans, sizes: list[int]) -> list[pa.Array]:
+    texts = [k.decode("utf-8", "ignore") for k in kept]
+    return [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+
+
+_Shape = Callable[[list[bytes], _Spans, list[int]], list[pa.Array]]
+
+
+def _cut_rows(documents: DataFrame, others: tuple[str, ...], shape: _Shape, columns: str) -> DataFrame:
     rows = keyed(documents)
     if rows is None:
-        return _cut(documents, *others)
+        return _cut(documents, others, shape, columns)
     own = rows.select(F.col("row").alias("doc_id"), "text", F.col("doc_id").alias("own_id"), *others)
-    found = _cut(own, "own_id", *others)
-    return found.select(F.col("own_id").alias("doc_id"), "n_bytes", "kept", "spans", *others)
+    found = _cut(own, ("own_id", *others), shape, columns)
+    return found.drop("doc_id").withColumnRenamed("own_id", "doc_id").select("doc_id", *_names(columns), *others)
+
 
+def _names(columns: str) -> list[str]:
+    return T.StructType.fromDDL(columns).names
 
-def _cut(documents: DataFrame, *others: str) -> DataFrame:
+
+def _cut(documents: DataFrame, others: tuple[str, ...], shape: _Shape, columns: str) -> DataFrame:
     """The same where only equal rows share a doc_id."""
     ranges = repeated(documents)
     spans = ranges.groupBy("doc_id").agg(
         F.collect_set(F.struct("start", "stop")).alias("ranges")  # a document's own, no more than its bytes
     )
+    names = ["doc_id", *_names(columns), *others]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
         for batch in batches:
             ranges = batch["ranges"]
             kept, spans, sizes = [], [], []
@@ -263,23 +296,15 @@ def _cut(documents: DataFrame, *others: str) -> DataFrame:
                     rest.append(text[at:start])
                     at = stop
                 kept.append(b"".join([*rest, text[at:]]))
-                spans.append([{"start": a, "stop": b} for a, b in own])
+                spans.append(own)
                 sizes.append(len(text))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch["doc_id"],
-                    pa.array(sizes, pa.int64()),
-                    pa.array(kept, pa.binary()),
-                    pa.array(spans, pa.list_(span)),
-                    *(batch[c] for c in others),
-                ],
-                names=["doc_id", "n_bytes", "kept", "spans", *others],
-            )
+            found = [batch["doc_id"], *shape(kept, spans, sizes), *(batch[c] for c in others)]
+            yield pa.RecordBatch.from_arrays(found, names=names)
 
     texts = packed(documents, *others)
-    columns = "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,stop:long>>"
-    schema = T.StructType([*T.StructType.fromDDL(columns), *texts.schema.fields[2:]])
-    return texts.join(spans, "doc_id", "left").mapInArrow(run, schema)
+    schema = T.StructType([*T.StructType.fromDDL(f"doc_id long, {columns}"), *texts.schema.fields[2:]])
+    # A merge join in any case: texts are packed before its shuffle, in a task of their own.
+    return texts.join(spans.hint("merge"), "doc_id", "left").mapInArrow(run, schema)
 
 
 def _merged(ranges: pa.Scalar, size: int) -> list[tuple[int, int]]:
