@@ -12,6 +12,7 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
@@ -536,6 +537,23 @@ def test_token_files_hold_the_library_s_ids(spark, documents):
         start += len(ids)
 
 
+def test_encoder_looks_each_core_up_once():
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("word_bpe_49k.json")
+    library, encoder = Tokenizer.from_file(file), token_files.WordEncoder(file)
+    texts = ["Word word, WORD. \"word\" word", "<|ENDOFTEXT|>, <|endoftext|>.", "", "é É, é!! İ. \u0958., \ufb2a! ß ﬁ 1 x2; --", "... a.b. a.b"]
+    numbers, asked = encoder.memory.numbers, []
+    encoder.memory.numbers = lambda *lists: asked.extend(map(list, lists)) or numbers(*lists)
+    for part in (texts, texts[:1], [""]):
+        ids, counts = encoder.encode(pa.array(part, pa.string()))
+        cores = asked[0]
+        asked.clear()
+        assert len(cores) == len(set(cores))
+        theirs = [[*library.encode(t, add_special_tokens=False).ids, token_files.END_ID] for t in part]
+        assert ids.tolist() == sum(theirs, []) and counts.tolist() == list(map(len, theirs))
+
+
 def test_empty_tables(spark, documents):
     none = documents.where("false")
     file = public_tokenizers.path("word_bpe_49k.json")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain, filterfalse
 
 import numpy as np
 
@@ -28,14 +29,14 @@ class Memory:
         if len(self.known) > self.kept:
             self._forget()
         known = self.known
-        new = [w for w in dict.fromkeys(w for words in lists for w in words) if w not in known]
+        new = list(dict.fromkeys(filterfalse(known.__contains__, chain.from_iterable(lists))))
         if new:
             ids, lengths = self.encode(new)
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
             self.flat = np.concatenate((self.flat, ids.astype(np.int32)))
             self.lengths = np.concatenate((self.lengths, lengths))
             self.starts = np.cumsum(self.lengths) - self.lengths
-        return [np.fromiter((known[w] for w in words), np.int64, len(words)) for words in lists]
+        return [np.fromiter(map(known.__getitem__, words), np.int64, len(words)) for words in lists]
 
     def ids(self, numbers: np.ndarray) -> np.ndarray:
         """The ids of these words one after another."""
