@@ -1,5 +1,6 @@
 """Operators against plain versions of themselves on small hand-made tables."""
 
+import collections
 import hashlib
 import itertools
 import math
@@ -87,6 +88,34 @@ def test_suffix_dedup_removes_what_repeats(documents):
         assert len(got[i].spans) == len(runs)
 
 
+def test_suffix_dedup_folds_texts_that_repeat_a_few_words(spark):
+    """A pair of words said thousands of times is one member a text and bucket, not one a time."""
+    rng = random.Random(21)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    unit = prose(40)
+    texts = [f"{prose(50)} {'red fox ' * 1500}{prose(50)}" for _ in range(5)]
+    texts += [unit[:size] * times for size, times in ((150, 60), (199, 3), (200, 2), (230, 40), (260, 2))]
+    texts += [unit[:137] + "-" + unit[:137], "ab" * 70_000 + prose(40), prose(60) + " " + "z" * 199]
+    rows = list(enumerate(texts))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    seen = collections.Counter(t[k : k + 200] for t in texts for k in range(len(t) - 199))
+    got = {r.doc_id: bytes(r.kept).decode() for r in suffix_dedup.cut_repeats(frame).collect()}
+    for i, text in rows:
+        left, until = [], 0
+        for k, c in enumerate(text):
+            if k + 200 <= len(text) and seen[text[k : k + 200]] > 1:
+                until = k + 200
+            if k >= until:
+                left.append(c)
+        assert got[i] == "".join(left), i
+
+    pairs = frame.where("doc_id < 5")
+    members = suffix_dedup._anchors(pairs)
+    assert members.count() < 200
+    stands_for = members.selectExpr("max(shiftright(extent, 36))").first()[0]
+    assert stands_for > 1400
+
+
 def shingle_set(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
     if len(words) < 5:

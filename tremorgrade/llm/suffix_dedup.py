@@ -8,7 +8,9 @@ refined by the identifiers found at later offsets:
 1. The first buckets hold grams of 64 bytes. Not every position enters one: each string
    of 200 is dealt to the first least gram in it, so a gram stands for a run of strings,
    and equal strings are dealt to equal grams at equal offsets. A bucket with one
-   member is final: nothing dealt to it repeats.
+   member is final: nothing dealt to it repeats. Equal members of one text whose bytes
+   overlap or touch are one row with their number: a text that repeats a few words
+   makes one row, not one a repetition.
 2. Members of the others are refined by the identifier of all bytes their run covers.
    If two agree, all their strings repeat and they are final.
 3. One member of each refined bucket goes on, with the number it stands for. Its run is
@@ -33,7 +35,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,25 +65,55 @@ def _of_runs(grams: Grams, first: np.ndarray, last: np.ndarray, at: np.ndarray)
     return found * np.uint64(0x9E3779B97F4A7C15) + (((at - first) << 16) | (at - last)).astype(np.uint64)
 
 
+def _folded(
+    bucket: np.ndarray, run: np.ndarray, piece: np.ndarray, first: np.ndarray, last: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One row for equal members of a piece whose bytes overlap or touch: the row of the first,
+    the number of bytes from its start to the end of the last, and how many they are."""
+    order = np.argsort(run, kind="stable")  # members of a run stay in the order of the text
+    same = [c[order[1:]] == c[order[:-1]] for c in (run, bucket, piece)]
+    near = first[order[1:]] <= last[order[:-1]] + LENGTH
+    heads = np.flatnonzero(np.concatenate(([True], ~(same[0] & same[1] & same[2] & near)))[: len(order)])
+    times = np.diff(np.append(heads, len(order)))
+    rows = order[heads]
+    return rows, last[order[heads + times - 1]] + LENGTH - first[rows], times
+
+
+def _extent(times: np.ndarray, size: np.ndarray, runs: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """Four numbers as one: how many members a row stands for, the bytes they cover together (20
+    bits; a piece has fewer), how far the last string of one is from its first, and the gram."""
+    return (times << 36) | (size << 16) | (runs << 8) | gram
+
+
+def _times(extent: Column) -> Column:
+    return F.shiftright(extent, 36)
+
+
+def _size(extent: Column) -> Column:
+    return F.shiftright(extent, 16).bitwiseAND(0xFFFFF)
+
+
 def _anchors(documents: DataFrame) -> DataFrame:
-    """(bucket, run, doc_id, first, last): the members of all first buckets. ``first`` and
-    ``last`` are the starts of the first and the last string dealt to the gram."""
+    """(bucket, run, doc_id, first, extent): the members of all first buckets. ``first`` is the
+    start of the first string dealt to the gram; ``extent`` see ``_extent``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             rows = zip(batch["doc_id"].to_pylist(), as_bytes(batch["text"]), strict=True)
             for held, grams in blocks(rows, LENGTH - 1):
                 at, first, last = grams.anchors(LENGTH, GRAM)
-                piece = grams.text_of(at)
+                bucket, run, piece = grams.at(at, GRAM), _of_runs(grams, first, last, at), grams.text_of(at)
+                own, size, times = _folded(bucket, run, piece, first, last)
+                at, first, last, piece = at[own], first[own], last[own], piece[own]
                 ids = np.array([h[0] for h in held], np.int64)[piece]
                 moved = np.array([h[1] for h in held], np.int64)[piece] - grams.starts[piece]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        _long(grams.at(at, GRAM)),
-                        _long(_of_runs(grams, first, last, at)),
+                        _long(bucket[own]),
+                        _long(run[own]),
                         pa.array(ids),
                         pa.array(first + moved, pa.int64()),
-                        pa.array(((last - first) << 8) | (at - first), pa.int64()),
+                        pa.array(_extent(times, size, last - first, at - first), pa.int64()),
                     ],
                     names=["bucket", "run", "doc_id", "first", "extent"],
                 )
@@ -92,7 +124,7 @@ def _anchors(documents: DataFrame) -> DataFrame:
 
 def _covered(members: DataFrame) -> DataFrame:
     """(doc_id, start, stop) of the bytes of whole runs."""
-    stop = F.col("first") + F.shiftright("extent", 8) + LENGTH
+    stop = F.col("first") + _size(F.col("extent"))
     return members.select("doc_id", F.col("first").alias("start"), stop.alias("stop"))
 
 
@@ -180,10 +212,11 @@ def repeated(documents: DataFrame) -> DataFrame:
     """(doc_id, start, stop): byte ranges, overlapping, that together are all bytes to go."""
     anchors = _anchors(documents)
     # Stored, so that both sides of the join come straight from a shuffle and hot buckets split.
-    shared = anchors.groupBy("bucket").agg(F.count("*").alias("in_bucket")).where("in_bucket > 1")
+    number = F.sum(_times(F.col("extent")))
+    shared = anchors.groupBy("bucket").agg(number.alias("in_bucket")).where("in_bucket > 1")
     members = stored(anchors.join(stored(shared, "shared"), "bucket"), "members")
     runs = members.groupBy("bucket", "run").agg(
-        F.count("*").alias("n"),
+        number.alias("n"),
         F.min(F.struct("doc_id", "first", "extent")).alias("member"),
         F.max("in_bucket").alias("in_bucket"),
     )
@@ -197,7 +230,7 @@ def repeated(documents: DataFrame) -> DataFrame:
         "bucket",
         (start + extent.bitwiseAND(0xFF)).alias("at"),
         start.alias("first"),
-        (start + F.shiftright(extent, 8)).alias("last"),
+        (start + F.shiftright(extent, 8).bitwiseAND(0xFF)).alias("last"),
         F.col("n").alias("weight"),
     )
     texts = packed(documents).join(chosen.select("doc_id").distinct(), "doc_id", "left_semi")
