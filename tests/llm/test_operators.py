@@ -25,6 +25,7 @@ from tremorgrade.llm import (  # noqa: E402
     fingerprints,
     jaccard_join,
     licenses,
+    memory,
     quality,
     suffix_dedup,
     token_files,
@@ -583,6 +584,31 @@ def test_encoder_looks_each_core_up_once():
         assert ids.tolist() == sum(theirs, []) and counts.tolist() == list(map(len, theirs))
 
 
+def test_a_full_memory_keeps_words_that_come_up_again():
+    """So it can be small: all words forgotten at once would be encoded again, common ones too."""
+    asked = collections.Counter()
+
+    def spell(words):
+        asked.update(words)
+        return np.array([ord(c) for w in words for c in w]), np.array([len(w) for w in words], np.int64)
+
+    words = memory.Memory(spell, kept=100)
+    common = [f"common{i}" for i in range(20)]
+    for k in range(60):
+        rare = [f"rare{k}-{i}" for i in range(10 + k % 3)]
+        first, second = words.numbers(common + rare, ["", common[k % 20]])
+        assert "".join(map(chr, words.ids(first))) == "".join(common + rare)
+        assert "".join(map(chr, words.ids(second))) == common[k % 20]
+        assert words.lengths[first].tolist() == [len(w) for w in common + rare]
+        assert len(words.known) <= 100 + 13
+    assert {asked[w] for w in common} == {1}
+
+    few = memory.Memory(spell, kept=4)
+    for k in range(8):
+        numbers = few.numbers([f"w{k % 2}-{i}" for i in range(6)])[0]
+        assert "".join(map(chr, few.ids(numbers))) == "".join(f"w{k % 2}-{i}" for i in range(6))
+
+
 def test_empty_tables(spark, documents):
     none = documents.where("false")
     file = public_tokenizers.path("word_bpe_49k.json")

@@ -35,9 +35,9 @@ from tremorgrade.llm.row_keys import put_back, set_aside
 
 MARKER = "▁"
 _UNKNOWN_COST = 10.0
-_CHUNK_BYTES = 200_000
+_CHUNK_BYTES = 100_000
 _BLOCK = 512
-_KEPT = 1_000_000
+_KEPT = 300_000
 _LONG = 512
 """A stretch of more bytes goes by itself."""
 _LONG_BLOCK = 1 << 16
